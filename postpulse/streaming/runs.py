@@ -1,0 +1,57 @@
+"""Search runs on a stream: the fold of ``operators.runs`` with the open run as state."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from postpulse.operators.runs import NO_RUN, distinct_in_batches, fold
+
+REQUEST = "topic_key string, second long, from_api boolean"
+RUN = "topic_key string, second long, run_second long"
+
+
+def _continue_runs(
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    """Runs of the newly requested seconds of a topic, given its open run."""
+    from_api: dict[bool, np.ndarray] = {}
+    for batch in batches:
+        for flag, part in batch.groupby("from_api")["second"]:
+            seen = from_api.get(flag, np.empty(0, dtype=np.int64))
+            from_api[flag] = np.union1d(seen, part.to_numpy())
+    anchor = state.get[0] if state.exists else NO_RUN
+    none = np.empty(0, dtype=np.int64)
+    api = from_api.get(True, none)
+    seconds = np.union1d(api, from_api.get(False, none))
+    # A request older than the open run counts into it.
+    starts = fold(np.maximum(seconds, anchor), np.isin(seconds, api), anchor)
+    if len(starts):
+        state.update((int(starts[-1]),))
+        yield pd.DataFrame({"topic_key": key[0], "second": seconds, "run_second": starts})
+
+
+def topic_runs(requests: DataFrame) -> DataFrame:
+    """Run of every requested second, as ``operators.runs.topic_runs``; use append mode.
+
+    Requests are expected in order from one micro-batch to the next. Repeats are
+    dropped before the shuffle, so a busy topic reaches its task as distinct seconds.
+    """
+    source = F.col("source") if "source" in requests.columns else F.lit("api")
+    asked = requests.select(
+        F.lower("topic").alias("topic_key"),
+        F.unix_seconds(F.col("requested_at").cast("timestamp")).alias("second"),
+        (source != "csv").alias("from_api"),
+    )
+    return (
+        asked.mapInPandas(distinct_in_batches, REQUEST)
+        .groupBy("topic_key")
+        .applyInPandasWithState(
+            _continue_runs, RUN, "anchor long", "append", GroupStateTimeout.NoTimeout
+        )
+    )

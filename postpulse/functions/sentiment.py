@@ -27,8 +27,8 @@ def polarity(
     """Mean polarity of the lexicon words of a text, rounded to 6 digits; none gives 0.
 
     A word directly after a negator counts with ``factor`` times its polarity.
-    Membership is a hash-set test per word; the lexicon itself is looked up only
-    for words that are in it.
+    Membership is a hash-set test per word; the lexicon itself and the word before
+    are looked up only for words that are in it.
     """
     if not lexicon:
         return F.lit(0.0)
@@ -40,20 +40,19 @@ def polarity(
     table = F.create_map(*[F.lit(v) for v in chain.from_iterable(
         (word, float(value)) for word, value in lexicon.items())])
     found = F.regexp_extract_all(F.lower(text), F.lit(K.WORD_PATTERN), F.lit(0))
-    start = F.struct(
-        F.lit(False).alias("negated"), F.lit(0.0).alias("total"), F.lit(0).alias("n")
-    )
 
-    def step(acc: Column, word: Column) -> Column:
-        value = F.element_at(table, word) * F.when(acc["negated"], F.lit(factor)).otherwise(1.0)
-        known = word.isin(list(lexicon))
-        return F.struct(
-            word.isin(list(negators)).alias("negated"),
-            F.when(known, acc["total"] + value).otherwise(acc["total"]).alias("total"),
-            F.when(known, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
+    def score(words: Column) -> Column:
+        places = F.filter(
+            F.transform(words, lambda word, i: F.when(word.isin(list(lexicon)), i)),
+            lambda i: i.isNotNull(),
         )
+        values = F.transform(places, lambda i: F.element_at(table, F.get(words, i)) * F.when(
+            F.get(words, i - 1).isin(list(negators)), F.lit(float(factor))).otherwise(1.0))
+        total = F.aggregate(values, F.lit(0.0), lambda acc, value: acc + value)
+        return F.try_divide(total, F.size(values))
 
-    mean = F.aggregate(found, start, step, lambda acc: F.try_divide(acc["total"], acc["n"]))
+    # The word list is bound once, as the only element of an array.
+    mean = F.get(F.transform(F.array(found), score), F.lit(0))
     return F.round(F.coalesce(mean, F.lit(0.0)), 6)
 
 

@@ -95,7 +95,8 @@ def words(text: Column) -> Column:
         found,
         lambda w: F.when(F.endswith(w, F.lit("'s")), F.left(w, F.length(w) - 2)).otherwise(w),
     )
-    kept = F.filter(trimmed, lambda w: ~w.rlike(r"^[0-9]*$"))
+    # Only a word before ":" in character order can be a number.
+    kept = F.filter(trimmed, lambda w: ~((w < ":") & w.rlike("^[0-9]+$")))
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 

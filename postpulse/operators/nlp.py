@@ -144,58 +144,84 @@ def word_bigrams(
 
 
 # --- entities -----------------------------------------------------------------
+# Up to this many entities the dictionary becomes part of the expressions.
+MAX_DICTIONARY = 20_000
+
+# Phrases that can enclose a match of n words, out of two neighbours on each side.
+ENCLOSING = {
+    1: (("b1", "w"), ("w", "a1"), ("b2", "b1", "w"), ("b1", "w", "a1"), ("w", "a1", "a2")),
+    2: (("b1", "w", "a1"), ("w", "a1", "a2")),
+}
+
+
+def _phrase(*parts: str) -> Column:
+    """The named words with spaces between; null if one is missing."""
+    spaced = [part for name in parts for part in (F.lit(" "), F.col(name))][1:]
+    return F.concat(*spaced)
+
+
+def _enclosing_phrases() -> list[Column]:
+    return [
+        F.when(F.col("n") == n, _phrase(*parts))
+        for n, phrases in ENCLOSING.items() for parts in phrases
+    ]
+
+
 def find_entities(
     posts: DataFrame,
     entity_dict: DataFrame,
     keep: Sequence[str] = ("topic", "tweet_id"),
     column: str = "cleaned_text",
+    max_entities: int = MAX_DICTIONARY,
 ) -> DataFrame:
     """Dictionary entities of one to three words in each post, case kept.
 
     A match lying inside a longer one is dropped. Each word carries its neighbours
     along, so all candidates and everything that could enclose them are known inside
-    the row: the text is never shuffled, and only matches meet the enclosing test.
-    Result: ``keep``, ``position`` (of the first word), ``entity``, ``label``.
+    the row: nothing is regrouped by post. With up to ``max_entities`` entities only
+    matches leave the rows of the text, without a shuffle; a larger dictionary is
+    joined with the candidates. Result: ``keep``, ``position`` (of the first word),
+    ``entity``, ``label``.
     """
-    listed = posts.select(*keep, names(F.col(column)).alias("w"))
-    gap = F.lit(None).cast("string")
-    around = F.arrays_zip(
-        F.concat(F.array(gap, gap), F.col("w")).alias("b2"),
-        F.concat(F.array(gap), F.col("w")).alias("b1"),
-        F.col("w").alias("w"),
-        F.slice("w", 2, F.size("w")).alias("a1"),
-        F.slice("w", 3, F.size("w")).alias("a2"),
-    )
-    neighbours = ["b2", "b1", "w", "a1", "a2"]
-    placed = (
-        listed.select(*keep, F.posexplode(around).alias("position", "z"))
-        .select(*keep, "position", *[f"z.{name}" for name in neighbours])
-        .filter(F.col("w").isNotNull())
-    )
-
-    def phrase(*parts: str) -> Column:
-        spaced = [part for name in parts for part in (F.lit(" "), F.col(name))][1:]
-        return F.concat(*spaced)
+    labels = entity_dict.select("entity", "label").distinct()
+    bounded = labels.limit(max_entities + 1).collect()
+    known = sorted({row["entity"] for row in bounded})
+    small = len(bounded) <= max_entities
 
-    candidates = F.array(
-        F.struct(F.lit(1).alias("n"), phrase("w").alias("entity")),
-        F.struct(F.lit(2).alias("n"), phrase("w", "a1").alias("entity")),
-        F.struct(F.lit(3).alias("n"), phrase("w", "a1", "a2").alias("entity")),
-    )
-    matches = (
-        placed.select("*", F.explode(candidates).alias("c"))
-        .select(*keep, "position", *neighbours, "c.n", "c.entity")
-        .join(entity_dict.select("entity", "label").distinct(), "entity")
+    listed = posts.select(*keep, names(F.col(column)).alias("words"))
+    spots = F.transform("words", lambda word, i: i)
+    if small:
+        first_words = sorted({entity.split(" ")[0] for entity in known})
+        spots = F.filter(
+            F.transform("words", lambda word, i: F.when(word.isin(first_words), i)),
+            lambda i: i.isNotNull(),
+        )
+    around = F.transform(spots, lambda i: F.struct(i.alias("position"), *[
+        F.get("words", i + offset).alias(name)
+        for name, offset in (("b2", -2), ("b1", -1), ("w", 0), ("a1", 1), ("a2", 2))
+    ]))
+    placed = listed.select(*keep, F.explode(around).alias("spot")).select(*keep, "spot.*")
+    candidates = F.array(*[
+        F.struct(F.lit(n).alias("n"), _phrase(*("w", "a1", "a2")[:n]).alias("entity"))
+        for n in (1, 2, 3)
+    ])
+    found = placed.select("*", F.explode(candidates).alias("c")).select(
+        *keep, "position", "b2", "b1", "w", "a1", "a2", "c.n", "c.entity"
     )
-    enclosing = [
-        (1, ("b1", "w")), (1, ("w", "a1")), (1, ("b2", "b1", "w")),
-        (1, ("b1", "w", "a1")), (1, ("w", "a1", "a2")),
-        (2, ("b1", "w", "a1")), (2, ("w", "a1", "a2")),
-    ]
-    longer = entity_dict.select(F.col("entity").alias("longer")).distinct()
-    for n, parts in enclosing:
-        around_match = F.when(F.col("n") == n, phrase(*parts))
-        matches = matches.join(longer, around_match == F.col("longer"), "left_anti")
+    if small:
+        enclosed = F.lit(False)
+        for phrase in _enclosing_phrases():
+            enclosed = enclosed | F.coalesce(phrase.isin(known), F.lit(False))
+        matches = found.filter(F.col("entity").isin(known)).filter(~enclosed)
+        matches = matches.join(F.broadcast(labels), "entity")
+    else:
+        # Outer joins and a null test, as the optimizer would move anti joins in
+        # front of the join that leaves only matches.
+        matches = found.join(labels, "entity")
+        for i, phrase in enumerate(_enclosing_phrases()):
+            longer = entity_dict.select(F.col("entity").alias(f"longer{i}")).distinct()
+            matches = matches.join(longer, phrase == F.col(f"longer{i}"), "left")
+            matches = matches.filter(F.col(f"longer{i}").isNull()).drop(f"longer{i}")
     return matches.select(*keep, "position", "entity", "label")
 
 

@@ -669,6 +669,12 @@ def txt_entities(spark, sf_dir):
     return nlp.find_entities(cleaned(spark, sf_dir), entity_dict(spark))
 
 
+@query
+def txt_entities_joined(spark, sf_dir):
+    """The same with the dictionary joined, as for one too large for the expressions."""
+    return nlp.find_entities(cleaned(spark, sf_dir), entity_dict(spark), max_entities=0)
+
+
 @query
 def txt_topics_lda(spark, sf_dir):
     return nlp.lda_topics(cleaned(spark, sf_dir))

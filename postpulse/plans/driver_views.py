@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """A table over all cores if it comes in fewer splits than there are cores.
+
+    Scoring a text costs far more than reading it, and one small file is one split.
+    Larger tables have enough splits and stay as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def marked_text() -> F.Column:
     """Document text with the marks of a post: retweet, sentiment, tags, crisis, link."""
     i = F.col("event_id")
@@ -47,7 +57,7 @@ def location() -> F.Column:
 
 def posts_from(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
     """The ``posts`` view over a batch or a stream of events."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     n_docs = table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -74,7 +84,8 @@ def posts_from(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts_from(spark, sf_dir, table(spark, sf_dir, "events"))
+    """The ``posts`` view of a batch."""
+    return posts_from(spark, sf_dir, spread(table(spark, sf_dir, "events"), "event_id"))
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:

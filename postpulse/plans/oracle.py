@@ -212,8 +212,9 @@ ORACLE: dict[str, str] = {
  'twitter' AS platform, 'csv' AS source, array_to_string({tags('text')}, ',') AS tags
  FROM posts""",
     "src_api_batch": f"WITH {POSTS} SELECT {API_COLUMNS} FROM posts",
-    "src_api_filter": f"""WITH {POSTS}, wanted AS (SELECT * FROM posts WHERE
- NOT starts_with(text, 'RT @') AND list_contains({tags('lower(text)')}, topic))
+    "src_api_filter": f"""WITH {POSTS}, tagged AS MATERIALIZED (SELECT *,
+ {tags('lower(text)')} AS tags FROM posts), wanted AS (SELECT * FROM tagged WHERE
+ NOT starts_with(text, 'RT @') AND list_contains(tags, topic))
  {ranked('wanted', 'created_at DESC, tweet_id', K.API_RESULTS_DEFAULT,
          'topic, tweet_id, text, created_at')}""",
     "src_api_stream": f"WITH {POSTS} SELECT {API_COLUMNS} FROM posts",
@@ -379,6 +380,7 @@ ORACLE: dict[str, str] = {
     "txt_polarity": f"WITH {SCORED} SELECT tweet_id, polarity FROM scored",
     "txt_polarity_joined": f"WITH {SCORED} SELECT tweet_id, polarity FROM scored",
     "txt_entities": f"WITH {ENTITIES_FOUND} SELECT * FROM entities",
+    "txt_entities_joined": f"WITH {ENTITIES_FOUND} SELECT * FROM entities",
     "txt_geo_resolve": f"""WITH {LOCATED} SELECT * FROM (SELECT DISTINCT location FROM counted)
  LEFT JOIN gazetteer USING (location)""",
     # streams

@@ -75,8 +75,8 @@ def crisis_score(crisis_posts: Column, total_posts: Column) -> Column:
     One crisis post in ten is already the maximum.
     """
     share = F.try_divide(crisis_posts.cast("double"), total_posts.cast("double"))
-    score = F.least(F.lit(float(K.CRISIS_CAP)), share * K.CRISIS_SCALE)
-    return F.coalesce(score, F.lit(0.0))
+    share = F.coalesce(share, F.lit(0.0))
+    return F.least(F.lit(float(K.CRISIS_CAP)), share * K.CRISIS_SCALE)
 
 
 def alert_level(

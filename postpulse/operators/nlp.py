@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +85,8 @@ def _weights(
     """The ``k`` most frequent per group, with the count relative to the largest."""
     best = top_k(counted, by, [F.desc("count"), F.asc(name)], k)
     largest = F.max("count").over(Window.partitionBy(*by))
-    return best.withColumn("weight", F.round(F.col("count") / largest, 6))
+    weight = F.round(F.col("count") / largest, 6).alias("weight")
+    return best.select(*by, name, "count", weight)
 
 
 def word_frequencies(
@@ -234,6 +235,9 @@ def entity_counts(
 
 
 # --- topics -------------------------------------------------------------------
+LDA_RESULT = "topic_id int, rank int, word string, weight double"
+
+
 def lda_topics(
     posts: DataFrame,
     topics: int = K.LDA_TOPICS,
@@ -253,13 +257,18 @@ def lda_topics(
     tokens = posts.select(F.filter(found, lambda w: F.length(w).between(shortest, longest)
                                    & ~F.startswith(w, F.lit("_"))).alias("tokens"))
     tokens = tokens.filter(F.size("tokens") > 0)
-    source = "tokens"
     if stopwords:
-        source = "kept"
-        remover = StopWordsRemover(inputCol="tokens", outputCol=source, stopWords=list(stopwords))
-        tokens = remover.transform(tokens)
-    counter = CountVectorizer(inputCol=source, outputCol="features", vocabSize=vocabulary)
-    counts = counter.fit(tokens)
+        tokens = tokens.select(F.filter("tokens", lambda w: ~w.isin(*stopwords)).alias("tokens"))
+    # Equal counts are ordered by name, so that the same texts give the same model.
+    frequent = (
+        tokens.select(F.explode("tokens").alias("word"))
+        .groupBy("word").agg(F.count("*").alias("n"))
+        .orderBy(F.desc("n"), F.asc("word")).limit(vocabulary).select("word")
+    )
+    known = [row["word"] for row in frequent.collect()]
+    if not known:
+        return posts.sparkSession.createDataFrame([], LDA_RESULT)
+    counts = CountVectorizerModel.from_vocabulary(known, inputCol="tokens", outputCol="features")
     # LDA passes over its input many times; the sparse counts spill to disk.
     features = counts.transform(tokens).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -268,10 +277,8 @@ def lda_topics(
         features.unpersist()
     described = model.describeTopics(words).collect()  # topics x words rows
     rows = [
-        (row["topic"], rank, counts.vocabulary[term], float(weight))
+        (row["topic"], rank, known[term], float(weight))
         for row in described
         for rank, (term, weight) in enumerate(zip(row["termIndices"], row["termWeights"]), 1)
     ]
-    return posts.sparkSession.createDataFrame(
-        rows, "topic_id int, rank int, word string, weight double"
-    )
+    return posts.sparkSession.createDataFrame(rows, LDA_RESULT)

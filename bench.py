@@ -38,7 +38,8 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return round(time.perf_counter() - started, 3)
 
-    run("agg_influencers")  # starts the JVM's code paths; not counted
+    for name in ("agg_kpi_row", "win_topic_runs"):  # start JVM and Python workers; not counted
+        run(name)
     times = {name: run(name) for name in HEADLINE}
     print(json.dumps({
         "metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -25,13 +25,25 @@ def clean_text(text: Column, retweet_pattern: str = K.RETWEET_PATTERN) -> Column
     its middle, and the retweet mark has no word boundary ("START now" loses its
     "RT ") unless ``retweet_pattern`` says otherwise.
     """
-    no_mentions = F.regexp_replace(text, K.MENTION_PATTERN, "")
+    no_mentions = _remove(text, "@", K.MENTION_PATTERN)
     no_hash = F.replace(no_mentions, F.lit("#"), F.lit(""))
-    no_retweet = F.regexp_replace(no_hash, retweet_pattern, "")
-    no_links = F.regexp_replace(no_retweet, K.URL_PATTERN, "")
+    retweet_mark = "RT" if retweet_pattern == K.RETWEET_PATTERN else ""
+    no_retweet = _remove(no_hash, retweet_mark, retweet_pattern)
+    no_links = _remove(no_retweet, "http", K.URL_PATTERN)
     return F.coalesce(strip(no_links), F.lit(""))
 
 
+def _remove(text: Column, mark: str, pattern: str) -> Column:
+    """Text without the pattern; the regex runs only on texts holding its fixed mark.
+
+    The text is bound once, as the only element of an array.
+    """
+    def step(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit(mark)), F.regexp_replace(t, pattern, "")).otherwise(t)
+
+    return F.get(F.transform(F.array(text), step), F.lit(0))
+
+
 def extract_hashtags(text: Column) -> Column:
     """All hashtags of a text without the ``#``, in order, repeats kept; null gives []."""
     found = F.regexp_extract_all(text, F.lit(K.HASHTAG_PATTERN), F.lit(1))

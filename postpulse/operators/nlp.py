@@ -78,6 +78,10 @@ def score_posts(
     return scored.withColumn("sentiment", P.sentiment_label(F.col("polarity")))
 
 
+# Up to this many stop words become part of the expressions.
+MAX_STOPWORDS = 10_000
+
+
 # --- words --------------------------------------------------------------------
 def _weights(
     counted: DataFrame, name: str, by: Sequence[str], k: int
@@ -89,18 +93,31 @@ def _weights(
     return best.select(*by, name, "count", weight)
 
 
+def _short_list(
+    words: DataFrame | Sequence[str], max_words: int
+) -> DataFrame | list[str]:
+    """A word table of at most ``max_words`` rows as a list, a larger one as it is."""
+    if not isinstance(words, DataFrame):
+        return list(words)
+    distinct = words.select("word").distinct()
+    bounded = distinct.limit(max_words + 1).collect()
+    return [row["word"] for row in bounded] if len(bounded) <= max_words else distinct
+
+
 def word_frequencies(
     posts: DataFrame,
     stopwords: DataFrame | Sequence[str] = K.STOPWORDS,
     by: Sequence[str] = ("topic",),
     k: int = K.TOP_WORDS,
     column: str = "cleaned_text",
+    max_stopwords: int = MAX_STOPWORDS,
 ) -> DataFrame:
     """Word-cloud weights: the most frequent words that are no stop words.
 
-    A list of stop words is tested while counting; a table of them is joined after
-    counting, against distinct words only.
+    Up to ``max_stopwords`` stop words are tested while counting; a larger table of
+    them is joined after counting, against distinct words only.
     """
+    stopwords = _short_list(stopwords, max_stopwords)
     exploded = posts.select(*by, F.explode(P.words(F.col(column))).alias("word"))
     if not isinstance(stopwords, DataFrame):
         exploded = exploded.filter(~F.col("word").isin(*stopwords))
@@ -116,11 +133,13 @@ def word_bigrams(
     by: Sequence[str] = ("topic",),
     k: int = K.TOP_WORDS,
     column: str = "cleaned_text",
+    max_stopwords: int = MAX_STOPWORDS,
 ) -> DataFrame:
     """Weights of word pairs next to each other in one post, neither a stop word.
 
     The pairs are built inside the row from the word list and its own tail.
     """
+    stopwords = _short_list(stopwords, max_stopwords)
     listed = posts.select(*by, P.words(F.col(column)).alias("words"))
     pairs = F.arrays_zip(
         F.col("words").alias("first"),

@@ -152,15 +152,24 @@ def filled_store(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-def placed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts with their search run."""
-    runs_of_posts = runs.topic_runs(requests(spark, sf_dir))
-    return runs.assign_runs(requested(posts(spark, sf_dir)), runs_of_posts)
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame by way of a table, as an operator reads what another one stored."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def placed_posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Posts with their search run, and the searches."""
+    asked = requests(spark, sf_dir)
+    folded = written(runs.topic_runs(asked), "runs")
+    placed = runs.assign_runs(requested(posts(spark, sf_dir)), folded)
+    return placed, runs.searches_of(asked, folded)
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = requests(spark, sf_dir)
-    return runs.searches_of(asked, runs.topic_runs(asked))
+    return runs.searches_of(asked, written(runs.topic_runs(asked), "runs"))
 
 
 def entity_dict(spark: SparkSession) -> DataFrame:
@@ -309,16 +318,15 @@ def flt_metric_prefix(spark, sf_dir):
     metrics = counts.sentiment_counts(frame, by=("topic",))
     totals = frame.groupBy("topic").agg(F.count("*").cast("string").alias("value"))
     others = totals.withColumn("metric", F.lit("total_posts"))
-    return filters.filter_metric_prefix(metrics.unionByName(others))
+    return filters.filter_metric_prefix(written(metrics.unionByName(others), "metrics"))
 
 
 @query
 def flt_run_scope(spark, sf_dir):
-    runs_by_topic = joins.latest_runs(searches(spark, sf_dir))
+    placed, searched = placed_posts(spark, sf_dir)
+    runs_by_topic = joins.latest_runs(searched)
     newest = filters.filter_topic(runs_by_topic, "tech").select("search_id").scalar()
-    return filters.filter_run(placed_posts(spark, sf_dir), newest).select(
-        "topic", "tweet_id", "run_start"
-    )
+    return filters.filter_run(placed, newest).select("topic", "tweet_id", "run_start")
 
 
 @query
@@ -358,9 +366,8 @@ def jn_post_author(spark, sf_dir):
 
 @query
 def jn_latest_run(spark, sf_dir):
-    newest = joins.join_latest_run(
-        placed_posts(spark, sf_dir).drop("run_start"), searches(spark, sf_dir)
-    )
+    placed, searched = placed_posts(spark, sf_dir)
+    newest = joins.join_latest_run(placed.drop("run_start"), searched)
     return newest.select("topic", "run_start", "tweet_id", "username", "retweet_count")
 
 
@@ -395,7 +402,7 @@ def agg_sentiment_counts(spark, sf_dir):
 @query
 def agg_sentiment_share(spark, sf_dir):
     metrics = counts.sentiment_counts(scored(spark, sf_dir), by=("topic", "event_type"))
-    return counts.sentiment_share(metrics)
+    return counts.sentiment_share(written(metrics, "metrics"))
 
 
 @query

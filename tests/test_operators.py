@@ -155,8 +155,10 @@ def test_bigrams_stay_inside_a_post(spark, rows):
     expected = [("x", "fox red", 1, 0.5), ("x", "red fox", 2, 1.0)]
     assert rows(nlp.word_bigrams(frame, ["the"])) == expected
     table = spark.createDataFrame([("the",)], "word string")
-    assert rows(nlp.word_bigrams(frame, table)) == expected
-    assert rows(nlp.word_frequencies(frame, table)) == rows(nlp.word_frequencies(frame, ["the"]))
+    frequent = rows(nlp.word_frequencies(frame, ["the"]))
+    for bound in (0, 10):
+        assert rows(nlp.word_bigrams(frame, table, max_stopwords=bound)) == expected
+        assert rows(nlp.word_frequencies(frame, table, max_stopwords=bound)) == frequent
 
 
 def test_lda_shape_and_seed(spark, rows):

@@ -15,6 +15,7 @@ from postpulse import functions as P
 from postpulse.functions.sentiment import MAX_LEXICON_WORDS
 from postpulse.functions.text import names
 from postpulse.operators.ranking import top_k
+from postpulse.operators.sizes import broadcast_if_small
 
 
 # --- sentiment ----------------------------------------------------------------
@@ -54,13 +55,11 @@ def _polarity_by_join(posts: DataFrame, lexicon: DataFrame, column: str) -> Data
         .filter(F.col("word").isNotNull())
         .withColumn("factor", F.when(F.col("before").isin(*K.NEGATORS), K.NEGATION_FACTOR)
                     .otherwise(1.0))
-        .groupBy("__digest", "word", "factor")
-        .agg(F.count("*").alias("n"))
     )
     scores = (
-        words.join(lexicon, "word")
+        words.join(broadcast_if_small(lexicon), "word")
         .groupBy("__digest")
-        .agg((F.sum(F.col("polarity") * F.col("factor") * F.col("n")) / F.sum("n")).alias("mean"))
+        .agg(F.avg(F.col("polarity") * F.col("factor")).alias("mean"))
     )
     return (
         keyed.join(scores, "__digest", "left")
@@ -204,6 +203,7 @@ def find_entities(
     ``entity``, ``label``.
     """
     labels = entity_dict.select("entity", "label").distinct()
+    labels = labels.filter(F.size(F.split("entity", " ")) <= 3)
     bounded = labels.limit(max_entities + 1).collect()
     known = sorted({row["entity"] for row in bounded})
     small = len(bounded) <= max_entities
@@ -237,9 +237,9 @@ def find_entities(
     else:
         # Outer joins and a null test, as the optimizer would move anti joins in
         # front of the join that leaves only matches.
-        matches = found.join(labels, "entity")
+        matches = found.join(broadcast_if_small(labels), "entity")
         for i, phrase in enumerate(_enclosing_phrases()):
-            longer = entity_dict.select(F.col("entity").alias(f"longer{i}")).distinct()
+            longer = labels.select(F.col("entity").alias(f"longer{i}")).distinct()
             matches = matches.join(longer, phrase == F.col(f"longer{i}"), "left")
             matches = matches.filter(F.col(f"longer{i}").isNull()).drop(f"longer{i}")
     return matches.select(*keep, "position", "entity", "label")

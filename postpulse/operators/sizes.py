@@ -1,0 +1,14 @@
+"""Broadcast behind a check of the size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(frame: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The frame marked for broadcast if it has few rows, else left to Spark's choice."""
+    few = frame.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(frame) if few else frame

@@ -133,6 +133,11 @@ def test_store_keeps_runs_and_survives_a_replay(spark, landed, csv_file, tmp_pat
     assert ids == ["1", "2", "3", "4", "4"]
     tags = {row["hashtag"]: row["count"] for row in latest["hashtags"].collect()}
     assert tags == {"spark": 4, "sparkdev": 1}
+    every = stored.read_latest(spark, root)["tweets"]
+    assert sorted(row["tweet_id"] for row in every.collect()) == ids
+    assert stored.read_latest(spark, root, "unheard of")["tweets"].count() == 0
+    plan = latest["tweets"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_date" in plan
 
 
 def test_csv_import_continues_the_newest_run(spark, csv_file, tmp_path):

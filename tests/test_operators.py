@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from functools import partial
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from postpulse.operators import counts, filters, joins, nlp, quality, ranking, runs, sets
+from postpulse.operators import counts, filters, joins, nlp, quality, ranking, runs, sets, sizes
 from postpulse.session import shared_folder
 
 
@@ -130,7 +131,10 @@ def plain_entities(text):
 
 
 @pytest.mark.parametrize("bound", [0, 1000])
-def test_entities_are_the_longest_matches(spark, rows, bound):
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_entities_are_the_longest_matches(spark, rows, bound, broadcast_rows, monkeypatch):
+    limited = partial(sizes.broadcast_if_small, max_rows=broadcast_rows)
+    monkeypatch.setattr(nlp, "broadcast_if_small", limited)
     frame = text_frame(spark)
     dictionary = spark.createDataFrame(ENTITIES, "entity string, label string")
     found = nlp.find_entities(frame, dictionary, max_entities=bound)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postpulse.operators import counts, nlp, quality
-from postpulse.plans import pipelines
+from postpulse.plans import jobs
 from postpulse.sinks import export, store
 from postpulse.sources import api, csv_posts
 from postpulse.sources import store as stored
@@ -70,7 +70,7 @@ def test_csv_without_text_or_topic_is_rejected(spark, tmp_path, csv_file):
     with pytest.raises(quality.InputRejected, match="text"):
         csv_posts.read_posts(spark, str(path), "python", NOW)
     with pytest.raises(quality.InputRejected, match="no rows"):
-        pipelines.import_csv(spark, csv_file, "cobol", str(tmp_path / "s"), "1", now=NOW)
+        jobs.import_csv(spark, csv_file, "cobol", str(tmp_path / "s"), "1", now=NOW)
 
 
 def response(topic, at, posts, users):
@@ -117,13 +117,13 @@ def contents(spark, root):
 
 def test_store_keeps_runs_and_survives_a_replay(spark, landed, csv_file, tmp_path):
     root = str(tmp_path / "store")
-    pipelines.ingest_responses(spark, landed, root, "first")
+    jobs.ingest_responses(spark, landed, root, "first")
     once = contents(spark, root)
     assert len(once["searches"]) == 2 and len(once["tweets"]) == 4
-    pipelines.ingest_responses(spark, landed, root, "first")
+    jobs.ingest_responses(spark, landed, root, "first")
     assert contents(spark, root) == once
     # The same posts polled again under another batch are appended.
-    pipelines.ingest_responses(spark, landed, root, "second")
+    jobs.ingest_responses(spark, landed, root, "second")
     twice = contents(spark, root)
     assert len(twice["searches"]) == 2 and len(twice["tweets"]) == 8
 
@@ -142,9 +142,9 @@ def test_store_keeps_runs_and_survives_a_replay(spark, landed, csv_file, tmp_pat
 
 def test_csv_import_continues_the_newest_run(spark, csv_file, tmp_path):
     root = str(tmp_path / "store")
-    pipelines.import_csv(spark, csv_file, "Python", root, "1", now=NOW)
+    jobs.import_csv(spark, csv_file, "Python", root, "1", now=NOW)
     later = datetime(2024, 6, 1)
-    pipelines.import_csv(spark, csv_file, "python", root, "2", now=later)
+    jobs.import_csv(spark, csv_file, "python", root, "2", now=later)
     found = stored.read_table(spark, root, "searches").collect()
     assert [(row["topic"], row["timestamp"], row["source"]) for row in found] == [
         ("Python", NOW, "csv")]
@@ -159,7 +159,7 @@ def test_init_keeps_what_is_there(spark, landed, tmp_path):
     root = str(tmp_path / "store")
     store.init_tables(spark, root)
     assert all(not rows for rows in contents(spark, root).values())
-    pipelines.ingest_responses(spark, landed, root, "1")
+    jobs.ingest_responses(spark, landed, root, "1")
     store.init_tables(spark, root)
     assert len(contents(spark, root)["tweets"]) == 4
 
@@ -168,7 +168,7 @@ def test_topic_views_and_exports(spark, landed, tmp_path):
     posts = nlp.score_posts(api.read_batch(spark, landed))
     places = spark.createDataFrame([], "alias string, country string, lat double, lon double")
     names = spark.createDataFrame([("SparkDev", "PRODUCT")], "entity string, label string")
-    views = pipelines.topic_views(posts, places, names)
+    views = jobs.topic_views(posts, places, names)
     assert views["metrics"].filter("topic = 'spark'").first()["crisis_score"] == 100.0
     for name, view in views.items():
         export.write_csv(view, str(tmp_path / f"{name}.csv"))

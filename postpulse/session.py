@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from postpulse.shipping import ship
+
 # Settings the operators are written for. Adaptive execution splits skewed join
 # partitions, merges small ones and picks broadcast joins from measured sizes.
 SETTINGS = {
@@ -21,13 +23,16 @@ SETTINGS = {
 def build_session(
     app: str = "postpulse", master: str | None = None, extra: dict[str, str] | None = None
 ) -> SparkSession:
-    """A session with ``SETTINGS``; ``extra`` adds to or overrides them."""
+    """A session with ``SETTINGS`` whose executors have this package.
+
+    ``extra`` adds to the settings or overrides them.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
 
 
 def shared_folder(spark: SparkSession) -> str:

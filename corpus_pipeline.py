@@ -1,25 +1,58 @@
-"""A corpus pipeline: quality rules, dedupe, decontamination, personal data, packing."""
+"""A corpus pipeline: quality rules, dedupe, decontamination, personal data, packing.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the
+columns of ``documents``. Each works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm import ngram_join
+from postpulse.llm import ngram_join, packing, pii, quality, tiling
 from postpulse.llm.storage import stored, table
 
+BYTE_PAIRS = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the bands of their language reject go."""
+    return quality.good_documents(docs, BYTE_PAIRS, PIECES)
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar documents stays: that which names it."""
-    found = ngram_join.jaccard_components(docs)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component of similar documents stays."""
+    return ngram_join.representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return tiling.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets; ``n_chars`` follows the text."""
+    changed = pii.masked(docs)
+    return changed.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences of 1,024 tokens."""
+    return packing.pack(docs, BYTE_PAIRS)
 
 
 STAGES = [
+    ("quality rules", quality_rules),
     ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal data", personal_data),
+    ("packing", token_packing),
 ]
 
+# Tokenisers, transitive links and trained models are beyond SQL; tests compare the
+# stages with brute force.
 ORACLE_SQL = None
 
 

@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from postpulse.llm.ngram_join import op8_ngram_jaccard_join
+from postpulse.llm.packing import op4_vector_packing
+from postpulse.llm.pii import op9_weak_pii
+from postpulse.llm.quality import op10_tokeniser_fertility
+from postpulse.llm.tiling import op2_greedy_tiling
 
 QUERIES = {
+    "op2_greedy_tiling": op2_greedy_tiling,
+    "op4_vector_packing": op4_vector_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_weak_pii": op9_weak_pii,
+    "op10_tokeniser_fertility": op10_tokeniser_fertility,
 }
 
 ORACLE: dict[str, str] = {}

@@ -11,11 +11,14 @@ holds), and a pair is discarded as soon as its sizes show that it cannot link:
   these columns enter the product. The order puts shingles that many documents share
   last; which ones is counted over all documents. Any order gives the same links.
 * With the places of a shared shingle in both sets, the rest bounds the overlap.
+* A sketch of fixed size bounds from below how many shingles only one of them has.
 * Pairs that remain get their exact overlap from the whole sets.
 
 Only components are asked for, so links inside a component that is already connected
-are not computed: every column first compares its rows with one row, and only rows of
-different components are compared in full afterwards. All links between components are.
+are not computed. A few rounds compare every set with a few others of its columns, drawn
+anew in each round; the sets that are then not in the largest component of a column are
+compared with all sets of the column in other components. So no link between components
+is lost, and a large group of near copies costs little more than its size.
 
 Shingles are 64-bit hashes and sets have 128-bit names.
 """
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postpulse.llm import words as W
@@ -43,6 +46,11 @@ MAX_FREQUENT = 1 << 17
 LOCAL_COUNT = 4
 FLUSH_TEXTS = 4096
 RARE = 2048
+# Words of 64 bits in the sketch of a set.
+SKETCH = 32
+# Rounds of drawn comparisons, and comparisons of a set in each.
+ROUNDS = 3
+DRAWS = 6
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -68,6 +76,19 @@ def _names(flat: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
     ]
 
 
+def _sketches(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """For every set, which of the fixed buckets hold an odd number of its shingles.
+
+    Two sketches differ in at most as many buckets as shingles are in one set only.
+    """
+    count, bits = len(offsets) - 1, 64 * SKETCH
+    bucket = (W.mix(flat) >> W.U64(64 - bits.bit_length() + 1)).astype(np.int64)
+    owner = np.repeat(np.arange(count), np.diff(offsets))
+    odd = np.bincount(owner * bits + bucket, minlength=count * bits) & 1
+    packed = np.packbits(odd.astype(np.uint8).reshape(count, bits), axis=1)
+    return _list(packed.reshape(-1).view(W.U64), np.arange(count + 1) * SKETCH)
+
+
 def _list(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(
         pa.array(offsets, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
@@ -113,8 +134,8 @@ def _prefix_lengths(sizes: np.ndarray, percent: int) -> np.ndarray:
 
 def incidence(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT
               ) -> DataFrame:
-    """``key``, ``n`` (set size), ``node`` (name of the set) and ``columns``, the first
-    shingles of the set in the common order, of every document."""
+    """Of every document: ``key``, ``text_hash``, ``n`` (set size), ``node`` (name of the
+    set), ``sketch``, and ``columns``, the first shingles in the common order."""
     spark = docs.sparkSession
     last = spark.sparkContext.broadcast(frequent_shingles(docs, width))
 
@@ -140,73 +161,125 @@ def incidence(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent:
                     parts.append(flat[own][order])
                 kept = np.concatenate(parts) if parts else np.zeros(0, W.U64)
                 yield pa.RecordBatch.from_arrays(
-                    [chunk.column(key), pa.array(sizes, pa.int64()),
-                     pa.array(_names(flat, offsets), pa.binary()),
+                    [chunk.column(key), chunk.column("text_hash"), pa.array(sizes, pa.int64()),
+                     pa.array(_names(flat, offsets), pa.binary()), _sketches(flat, offsets),
                      _list(kept, np.concatenate(([0], np.cumsum(lengths))))],
-                    names=[key, "n", "node", "columns"])
+                    names=[key, "text_hash", "n", "node", "sketch", "columns"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, "text").mapInArrow(
-        rows, f"{key} {kind}, n long, node binary, columns array<long>")
+    return docs.select(key, "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        rows, f"{key} {kind}, text_hash long, n long, node binary, sketch array<long>, "
+              "columns array<long>")
+
+
+# Bits of the tables of fixed size that filter before a shuffle: 16 MB for shingles and
+# 4 MB for keys. When they fill up, more is shuffled and the result stays the same.
+SHARED_BITS = 27
+KEY_BITS = 25
 
 
-# Size of the first filter for documents whose whole sets are needed: 4 MB.
-BITMAP_BITS = 25
+def _place(value: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(value), 64 - bits)
+
+
+def _marks(places: DataFrame, bits: int) -> np.ndarray:
+    """A table with the bit of every ``place`` set, built in blocks of 4 KB."""
+    blocks = places.groupBy(F.shiftright("place", 15).alias("block")).agg(
+        F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
+    marks = np.zeros((1 << bits) // 8, np.uint8)
+    for row in blocks.toLocalIterator():
+        marks[row["block"] * 4096:row["block"] * 4096 + 4096] = np.frombuffer(row["bits"], np.uint8)
+    return marks
+
+
+def _marked(marks: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return ((marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _shared_cells(matrix: DataFrame, key: str) -> DataFrame:
+    """``shingle``, ``node``, ``key``, ``n`` and ``at`` of the cells whose column has
+    another set too; a few more may be among them. Copies of a set count once."""
+    code = F.xxhash64("node")
+    columns = matrix.select(code.alias("code"), F.explode("columns").alias("shingle"))
+    shared = columns.groupBy("shingle").agg(
+        F.min("code").alias("low"), F.max("code").alias("high")).filter("low <> high")
+    places = shared.select(F.shiftrightunsigned("shingle", 64 - SHARED_BITS).alias("place"))
+    sent = matrix.sparkSession.sparkContext.broadcast(_marks(places, SHARED_BITS))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = sent.value
+        for batch in batches:
+            lists = batch.column("columns")
+            flat = lists.flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            hit = _marked(marks, (flat.view(W.U64) >> W.U64(64 - SHARED_BITS)).astype(np.int64))
+            index = pa.array(owner[hit])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[hit]), batch.column("node").take(index),
+                 batch.column(key).take(index), batch.column("n").take(index),
+                 pa.array(at[hit])], names=["shingle", "node", key, "n", "at"])
+
+    kind = dict(matrix.dtypes)[key]
+    cells = matrix.filter(F.col("node").isNotNull()).select(key, "n", "node", "columns").mapInArrow(
+        rows, f"shingle long, node binary, {key} {kind}, n long, at long")
+    return cells.groupBy("shingle", "node").agg(
+        F.min(key).alias(key), F.min("n").alias("n"), F.min("at").alias("at"))
 
 
 def whole_sets(docs: DataFrame, owners: DataFrame, key: str, width: int) -> DataFrame:
-    """``node`` and its whole ``shingles`` for the documents in ``owners`` (node, key).
+    """``node`` and its whole ``shingles`` of the documents whose key is in ``owners``.
 
-    A table of fixed size keeps most other documents from being hashed again; the join
-    by node keeps exactly those asked for.
+    A table of fixed size tells which documents to hash again; a few others pass it. A
+    task returns a set once, so several rows of a node are possible.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(_key_marks(owners, key))
+    places = owners.select(_place(F.col(key), KEY_BITS).alias("place"))
+    sent = docs.sparkSession.sparkContext.broadcast(_marks(places, KEY_BITS))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = wanted.value
+        marks, seen = sent.value, set()
         for batch in batches:
-            place = batch.column("place").to_numpy()
-            hit = (marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-            batch = batch.filter(pa.array(hit.astype(bool)))
+            batch = batch.filter(pa.array(_marked(marks, batch.column("place").to_numpy())))
             for chunk in W.chunks(batch):
                 flat, offsets = _sets(chunk, width)
+                names = _names(flat, offsets)
+                new = []
+                for t, name in enumerate(names):
+                    if name is not None and name not in seen:
+                        new.append(t)
+                        seen.add(name)
+                nodes = pa.array([names[t] for t in new], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_names(flat, offsets), pa.binary()), chunk.column(key),
-                     _list(flat, offsets)],
-                    names=["node", key, "shingles"])
-
-    kind = dict(docs.dtypes)[key]
-    sets = docs.select(key, "text", _place(F.col(key)).alias("place")).mapInArrow(
-        rows, f"node binary, {key} {kind}, shingles array<long>")
-    return sets.join(owners, (sets["node"] == owners["node"]) & sets[key].eqNullSafe(owners[key])
-                     ).select(sets["node"], "shingles").dropDuplicates(["node"])
+                    [nodes, _list(flat, offsets).take(pa.array(new, pa.int32()))],
+                    names=["node", "shingles"])
 
+    return docs.select("text", _place(F.col(key), KEY_BITS).alias("place")).mapInArrow(
+        rows, "node binary, shingles array<long>")
 
-def _place(key: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key), 64 - BITMAP_BITS)
 
-
-def _key_marks(owners: DataFrame, key: str) -> np.ndarray:
-    places = owners.select(_place(F.col(key)).alias("place")).distinct()
-    blocks = places.groupBy(F.shiftright("place", 15).alias("block")).agg(
-        F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
-    marks = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for row in blocks.toLocalIterator():  # at most 1,024 blocks of 4 KB
-        marks[row["block"] * 4096:row["block"] * 4096 + 4096] = np.frombuffer(row["bits"], np.uint8)
-    return marks
+def _sizes_allow(percent: int) -> Column:
+    n, m = F.col("x.n"), F.col("y.n")
+    return (100 * n >= percent * m) & (100 * m >= percent * n)
 
 
-def _bounded(left: str, right: str, percent: int) -> Column:
-    """Whether sizes and places of a shared shingle still allow a link.
+def _places_allow(percent: int) -> Column:
+    """Whether what follows a shared shingle in both sets still allows a link.
 
     True for the first shared shingle in the common order of every pair that links.
     """
-    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
-    rest = F.least(n - F.col(f"{left}.at"), m - F.col(f"{right}.at"))
-    return (
-        (100 * n >= percent * m) & (100 * m >= percent * n)
-        & ((100 + percent) * rest >= percent * (n + m))
-    )
+    n, m = F.col("x.n"), F.col("y.n")
+    rest = F.least(n - F.col("x.at"), m - F.col("y.at"))
+    return (100 + percent) * rest >= percent * (n + m)
+
+
+def _similar_sketches(percent: int) -> Column:
+    """Whether the sketches allow a link: linked sets of n and m shingles differ in at
+    most ``(n + m) (100 - percent) / (100 + percent)``."""
+    apart = F.aggregate(
+        F.zip_with("u", "v", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0),
+        lambda total, count: total + count)
+    return (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,73 +292,82 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("n") + F.col("m") - F.col("shared"))).select("a", "b")
 
 
-def _with_component(cells: DataFrame, components: DataFrame) -> DataFrame:
-    known = components.select("node", "component")
-    return cells.join(known, "node", "left").withColumn(
+def _open_cells(cells: DataFrame, components: DataFrame) -> DataFrame:
+    """The cells of columns with sets of several components, and their component."""
+    held = cells.join(components.select("node", "component"), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
+    mixed = held.groupBy("shingle").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"),
+    ).filter("low <> high").select("shingle")
+    return held.join(mixed, "shingle", "left_semi")
+
+
+_CELL = ("node", "n", "at", "component")
+
+
+def _drawn_pairs(held: DataFrame, turn: int) -> DataFrame:
+    """Every set with at most ``DRAWS`` others, one drawn in each of its columns."""
+    draw = F.xxhash64("node", "shingle", F.lit(turn)).alias("draw")
+    leaders = held.groupBy("shingle").agg(F.min(F.struct(draw, *_CELL)).alias("y"))
+    paired = held.join(leaders, "shingle").filter(F.col("component") != F.col("y.component"))
+    # Ranks count distinct others; a set has no more rows here than columns.
+    order = Window.partitionBy("node").orderBy(F.xxhash64("y.node", F.lit(turn)), "y.node")
+    return paired.withColumn("rank", F.dense_rank().over(order)).filter(
+        F.col("rank") <= DRAWS).select(F.struct(*_CELL).alias("x"), "y")
+
+
+def _all_pairs_outside(held: DataFrame, percent: int) -> DataFrame:
+    """Sets outside the largest component of a column with all of other components."""
+    sizes = held.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("shingle").agg(
+        F.max(F.struct("size", "component")).alias("m")).select(
+            "shingle", F.col("m.component").alias("main"))
+    outside = held.join(main, "shingle").filter(F.col("component") != F.col("main")).select(
+        "shingle", F.struct(*_CELL).alias("x"), "main")
+    paired = outside.join(held.select("shingle", F.struct(*_CELL).alias("y")), "shingle")
+    return paired.filter(
+        (F.col("x.component") != F.col("y.component"))
+        & ((F.col("y.component") == F.col("main")) | (F.col("x.node") < F.col("y.node")))
+        & _places_allow(percent))
 
 
 def links(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT
           ) -> tuple[DataFrame, DataFrame]:
     """The rows of the matrix, and the components of the sets that link to another.
 
-    Result: (``key``, ``n``, ``node``, ``columns`` of every document), (``node``,
-    ``component``). Sets that link to none are not in the second.
+    Result: the columns of ``incidence``; ``node`` and ``component``. Sets that link to
+    none are not in the second.
     """
     matrix = stored(incidence(docs, key, width, percent), "incidence")
-    rows = matrix.filter(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min(key).alias(key), F.first("n").alias("n"), F.first("columns").alias("columns"))
-    cells = rows.select("node", key, "n", F.posexplode("columns").alias("at", "shingle"))
-    # Columns with one row link nothing.
-    shared = cells.groupBy("shingle").agg(
-        F.count("*").alias("rows"), F.min("node").alias("leader")).filter("rows > 1")
-    cells = stored(cells.join(shared.select("shingle"), "shingle", "left_semi"), "cells")
+    cells = stored(_shared_cells(matrix, key), "cells")
+    sketches = matrix.join(
+        cells.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+            F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    sketches = stored(sketches, "sketches")
     edges = None
     components = cells.sparkSession.createDataFrame([], "node binary, component binary")
-    # Rounds that compare each column with one row of it; another row in every round.
-    for turn in range(2):
-        held = _with_component(cells, components)
-        if turn:
-            mixed = held.groupBy("shingle").agg(
-                F.min("component").alias("low"), F.max("component").alias("high"),
-            ).filter("low <> high").select("shingle")
-            held = held.join(mixed, "shingle", "left_semi")
-        place = F.struct(
-            F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "at", "component")
-        leaders = held.groupBy("shingle").agg(F.min(place).alias("l"))
-        paired = held.alias("h").join(leaders, "shingle").select(
-            F.struct("h.node", "h.n", "h.at", "h.component").alias("x"), F.col("l").alias("y"))
-        edges, components = _grow(paired, docs, cells, edges, key, width, percent)
-    held = _with_component(cells, components)
-    mixed = held.groupBy("shingle").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"),
-    ).filter("low <> high").select("shingle")
-    held = stored(held.join(mixed, "shingle", "left_semi"), "open-cells")
-    paired = held.select("shingle", F.struct("node", "n", "at", "component").alias("x")).join(
-        held.select("shingle", F.struct("node", "n", "at", "component").alias("y")), "shingle")
-    paired = paired.filter(F.col("x.node") < F.col("y.node"))
-    edges, components = _grow(paired, docs, cells, edges, key, width, percent)
+    for turn in range(ROUNDS + 1):
+        held = stored(_open_cells(cells, components), "open-cells")
+        paired = _drawn_pairs(held, turn) if turn < ROUNDS else _all_pairs_outside(held, percent)
+        pairs = paired.filter(_sizes_allow(percent)).select(
+            F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
+        ).distinct()
+        for side, sketch, size in (("a", "u", "n"), ("b", "v", "m")):
+            pairs = pairs.join(sketches.select(
+                F.col("node").alias(side), F.col("sketch").alias(sketch),
+                F.col("n").alias(size)), side)
+        pairs = stored(pairs.filter(_similar_sketches(percent)).select("a", "b"), "pairs")
+        if pairs.isEmpty():
+            continue
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        owners = cells.select("node", key).distinct().join(nodes, "node", "left_semi")
+        sets = stored(whole_sets(docs, owners, key, width), "sets")
+        found = _linked(pairs, sets, percent)
+        edges = stored(found if edges is None else edges.union(found), "links")
+        components = connected_components(edges)
     return matrix, components
 
 
-def _grow(paired: DataFrame, docs: DataFrame, cells: DataFrame, edges: DataFrame | None,
-          key: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Add the links among candidate pairs of different components to ``edges``."""
-    pairs = paired.filter(F.col("x.component") != F.col("y.component")).filter(
-        _bounded("x", "y", percent)
-    ).select(
-        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
-    ).distinct()
-    pairs = stored(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    owners = stored(
-        cells.groupBy("node").agg(F.first(key).alias(key)).join(nodes, "node", "left_semi"), "owners")
-    sets = stored(whole_sets(docs, owners, key, width), "sets")
-    found = _linked(pairs, sets, percent)
-    edges = stored(found if edges is None else edges.union(found), "links")
-    return edges, connected_components(edges)
-
-
 def jaccard_components(docs: DataFrame, key: str = "doc_id", width: int = WIDTH,
                        percent: int = PERCENT) -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` of every document.
@@ -307,9 +389,28 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", width: int = WIDTH,
     by_node = grouped.join(lowest, "component").select("node", "component_id")
     by_node = stored(by_node, "by-node")
     return matrix.join(by_node, "node", "left").select(
-        key, F.col("n").alias("n_shingles"),
+        key, F.col("n").alias("n_shingles"), "text_hash",
         F.coalesce("component_id", F.when(F.col("node").isNull(), F.col(key))).alias("component_id"))
 
 
+def representatives(docs: DataFrame, key: str = "doc_id", width: int = WIDTH,
+                    percent: int = PERCENT) -> DataFrame:
+    """One document of each component, with all its columns: the one that names it.
+
+    Of repeated rows one stays. Documents without words are components of their own.
+    """
+    found = jaccard_components(docs, key, width, percent)
+    chosen = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(
+        "component_id", F.when(F.col("n_shingles") == 0, F.col("text_hash")).alias("empty")
+    ).agg(F.min("text_hash").alias("__text_hash")).select(
+        F.col("component_id").alias("__key"), "__text_hash")
+    rows = docs.withColumn("__row_hash", F.xxhash64("text"))
+    kept = rows.join(chosen.distinct(), rows[key].eqNullSafe(F.col("__key"))
+                     & (F.col("__row_hash") == F.col("__text_hash")), "left_semi")
+    order = Window.partitionBy(key, "__row_hash").orderBy(F.lit(1))
+    return kept.withColumn("__row", F.row_number().over(order)).filter(
+        F.col("__row") == 1).select(*[F.col(f"`{name}`") for name in docs.columns])
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash")

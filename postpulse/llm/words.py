@@ -18,11 +18,11 @@ _ALL = np.arange(256)
 
 # The bytes that separate words.
 SPACES = (_ALL == 0x20) | ((_ALL >= 0x09) & (_ALL <= 0x0D))
+# Words of lowered texts, [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, found before A-Z are lowered.
 NOT_ALPHANUMERIC = (
-    (_ALL <= 0x2F) | ((_ALL >= 0x3A) & (_ALL <= 0x60)) | ((_ALL >= 0x7B) & (_ALL <= 0x7F))
+    (_ALL <= 0x2F) | ((_ALL >= 0x3A) & (_ALL <= 0x40)) | ((_ALL >= 0x5B) & (_ALL <= 0x60))
+    | ((_ALL >= 0x7B) & (_ALL <= 0x7F))
 )
-# The same after upper-case letters have been lowered.
-NOT_ALPHANUMERIC_FOLDED = NOT_ALPHANUMERIC & ~((_ALL >= 0x41) & (_ALL <= 0x5A))
 
 CHUNK_BYTES = 2 << 20
 
@@ -39,7 +39,7 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 _LOWER = _ALL + 32 * ((_ALL >= 0x41) & (_ALL <= 0x5A))
-_BYTE_CODES = _mixed(7, 256)
+BYTE_CODES = _mixed(7, 256)
 _BASE = U64(0xD6E8FEB86659FD93)
 _PLACES = _mixed(11, 64) | U64(1)
 
@@ -93,25 +93,29 @@ def find_words(texts: pa.Array, separators: np.ndarray) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, offsets))
 
 
-def word_hashes(words: Words, separators: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of every word; with ``fold`` the letters A-Z count as lower case."""
-    if not len(words):
+def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray
+                ) -> np.ndarray:
+    """A 64-bit hash of every span ``data[start:start + length]``; spans are in order.
+
+    ``codes`` gives a number for each byte, and 0 for bytes between the spans.
+    """
+    if not len(starts):
         return np.zeros(0, U64)
-    lengths = words.ends - words.starts
-    codes = np.where(separators, U64(0), _BYTE_CODES[_LOWER] if fold else _BYTE_CODES)
-    powers = np.ones(int(lengths.max()) + 1, U64)
+    # A span's sum ends where the next span starts, so what lies between must add 0.
+    reach = np.diff(np.concatenate((starts, [len(data)])))
+    powers = np.ones(int(reach.max()) + 1, U64)
     powers[1:] = np.multiply.accumulate(np.full(len(powers) - 1, _BASE, U64))
-    # Place of each byte in its word; separators have the code 0 whatever their place.
-    place = np.arange(len(words.data), dtype=np.int64)
-    place -= np.repeat(
-        np.concatenate(([0], words.starts)),
-        np.diff(np.concatenate(([0], words.starts, [len(words.data)]))),
-    )
-    np.minimum(place, len(powers) - 1, out=place)
-    sums = np.add.reduceat(codes[words.data] * powers[place], words.starts)
+    place = np.arange(starts[0], len(data), dtype=np.int64) - np.repeat(starts, reach)
+    sums = np.add.reduceat(codes[data[starts[0]:]] * powers[place], starts - starts[0])
     return mix(sums ^ (lengths.astype(U64) * U64(0xA0761D6478BD642F)))
 
 
+def word_hashes(words: Words, separators: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of every word; with ``fold`` the letters A-Z count as lower case."""
+    codes = np.where(separators, U64(0), BYTE_CODES[_LOWER] if fold else BYTE_CODES)
+    return span_hashes(words.data, words.starts, words.ends - words.starts, codes)
+
+
 def sequence_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """The hash of every run of ``width`` hashes, whatever text they belong to."""
     count = max(0, len(hashes) - width + 1)

@@ -14,11 +14,13 @@ holds), and a pair is discarded as soon as its sizes show that it cannot link:
 * A sketch of fixed size bounds from below how many shingles only one of them has.
 * Pairs that remain get their exact overlap from the whole sets.
 
-Only components are asked for, so links inside a component that is already connected
-are not computed. A few rounds compare every set with a few others of its columns, drawn
-anew in each round; the sets that are then not in the largest component of a column are
-compared with all sets of the column in other components. So no link between components
-is lost, and a large group of near copies costs little more than its size.
+Columns of a few sets give all their pairs. In a column of many sets that would be too
+many, and as only components are asked for, links inside a component that is already
+connected are not computed there: a few rounds compare every set with a few others of
+its columns, drawn anew in each round; the sets that are then not in the largest
+component of a column are compared with all sets of the column in other components. So
+no link between components is lost, and a large group of near copies costs little more
+than its size.
 
 Shingles are 64-bit hashes and sets have 128-bit names.
 """
@@ -48,7 +50,9 @@ FLUSH_TEXTS = 4096
 RARE = 2048
 # Words of 64 bits in the sketch of a set.
 SKETCH = 32
-# Rounds of drawn comparisons, and comparisons of a set in each.
+# Columns of up to so many sets give all their pairs at once.
+FEW = 64
+# Rounds of drawn comparisons in other columns, and comparisons of a set in each.
 ROUNDS = 3
 DRAWS = 6
 
@@ -198,7 +202,10 @@ def _marked(marks: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _shared_cells(matrix: DataFrame, key: str) -> DataFrame:
     """``shingle``, ``node``, ``key``, ``n`` and ``at`` of the cells whose column has
-    another set too; a few more may be among them. Copies of a set count once."""
+    several ``sets``. Copies of a set count once.
+
+    The table of fixed size spares most other cells from the shuffle.
+    """
     code = F.xxhash64("node")
     columns = matrix.select(code.alias("code"), F.explode("columns").alias("shingle"))
     shared = columns.groupBy("shingle").agg(
@@ -224,8 +231,10 @@ def _shared_cells(matrix: DataFrame, key: str) -> DataFrame:
     kind = dict(matrix.dtypes)[key]
     cells = matrix.filter(F.col("node").isNotNull()).select(key, "n", "node", "columns").mapInArrow(
         rows, f"shingle long, node binary, {key} {kind}, n long, at long")
-    return cells.groupBy("shingle", "node").agg(
+    cells = cells.groupBy("shingle", "node").agg(
         F.min(key).alias(key), F.min("n").alias("n"), F.min("at").alias("at"))
+    sizes = cells.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1")
+    return cells.join(sizes, "shingle")
 
 
 def whole_sets(docs: DataFrame, owners: DataFrame, key: str, width: int) -> DataFrame:
@@ -292,6 +301,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("n") + F.col("m") - F.col("shared"))).select("a", "b")
 
 
+def _few_pairs(cells: DataFrame, percent: int) -> DataFrame:
+    """All pairs of columns with few sets."""
+    few = cells.filter(F.col("sets") <= FEW).select(
+        "shingle", F.struct("node", "n", "at").alias("x"))
+    return few.join(few.withColumnRenamed("x", "y"), "shingle").filter(
+        (F.col("x.node") < F.col("y.node")) & _places_allow(percent))
+
+
 def _open_cells(cells: DataFrame, components: DataFrame) -> DataFrame:
     """The cells of columns with sets of several components, and their component."""
     held = cells.join(components.select("node", "component"), "node", "left").withColumn(
@@ -344,11 +361,17 @@ def links(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
         cells.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
             F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     sketches = stored(sketches, "sketches")
-    edges = None
+    edges = cells.sparkSession.createDataFrame([], "a binary, b binary")
     components = cells.sparkSession.createDataFrame([], "node binary, component binary")
-    for turn in range(ROUNDS + 1):
-        held = stored(_open_cells(cells, components), "open-cells")
-        paired = _drawn_pairs(held, turn) if turn < ROUNDS else _all_pairs_outside(held, percent)
+    for turn in range(ROUNDS + 2):
+        if not turn:
+            paired = _few_pairs(cells, percent)
+        else:
+            held = stored(_open_cells(cells.filter(F.col("sets") > FEW), components), "open-cells")
+            if held.isEmpty():
+                break
+            paired = (_drawn_pairs(held, turn) if turn <= ROUNDS
+                      else _all_pairs_outside(held, percent))
         pairs = paired.filter(_sizes_allow(percent)).select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
         ).distinct()
@@ -362,8 +385,7 @@ def links(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         owners = cells.select("node", key).distinct().join(nodes, "node", "left_semi")
         sets = stored(whole_sets(docs, owners, key, width), "sets")
-        found = _linked(pairs, sets, percent)
-        edges = stored(found if edges is None else edges.union(found), "links")
+        edges = stored(edges.union(_linked(pairs, sets, percent)), "links")
         components = connected_components(edges)
     return matrix, components
 

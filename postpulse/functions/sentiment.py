@@ -7,7 +7,6 @@ with array functions: no explode, no shuffle, and it works unchanged on a stream
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,8 +26,8 @@ def polarity(
     """Mean polarity of the lexicon words of a text, rounded to 6 digits; none gives 0.
 
     A word directly after a negator counts with ``factor`` times its polarity.
-    Membership is a hash-set test per word; the lexicon itself and the word before
-    are looked up only for words that are in it.
+    Membership is a hash-set test per word. For words that are in the lexicon, the
+    words of each polarity are a hash set too, and the word before is looked at.
     """
     if not lexicon:
         return F.lit(0.0)
@@ -37,16 +36,23 @@ def polarity(
             f"lexicon has {len(lexicon)} words, more than {MAX_LEXICON_WORDS}; "
             "use operators.nlp.with_polarity, which joins large lexicons"
         )
-    table = F.create_map(*[F.lit(v) for v in chain.from_iterable(
-        (word, float(value)) for word, value in lexicon.items())])
+    by_value: dict[float, list[str]] = {}
+    for word, value in lexicon.items():
+        by_value.setdefault(float(value), []).append(word)
     found = F.regexp_extract_all(F.lower(text), F.lit(K.WORD_PATTERN), F.lit(0))
 
+    def value_of(word: Column) -> Column:
+        chosen = F.lit(None).cast("double")
+        for value, group in by_value.items():
+            chosen = F.when(word.isin(group), F.lit(value)).otherwise(chosen)
+        return chosen
+
     def score(words: Column) -> Column:
         places = F.filter(
             F.transform(words, lambda word, i: F.when(word.isin(list(lexicon)), i)),
             lambda i: i.isNotNull(),
         )
-        values = F.transform(places, lambda i: F.element_at(table, F.get(words, i)) * F.when(
+        values = F.transform(places, lambda i: value_of(F.get(words, i)) * F.when(
             F.get(words, i - 1).isin(list(negators)), F.lit(float(factor))).otherwise(1.0))
         total = F.aggregate(values, F.lit(0.0), lambda acc, value: acc + value)
         return F.try_divide(total, F.size(values))

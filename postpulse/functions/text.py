@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,9 +83,11 @@ def is_crisis(cleaned: Column, keywords: Sequence[str] = K.REFERENCE_KEYWORDS) -
     replaced letters are those that match an ASCII letter when case is ignored but
     do not lower-case to it.
     """
-    folded = cleaned
-    for letter, ascii_letter in FOLDED_LETTERS:
-        folded = F.replace(folded, F.lit(letter), F.lit(ascii_letter))
+    letters = "".join(letter for letter, _ in FOLDED_LETTERS)
+    ascii_letters = "".join(letter for _, letter in FOLDED_LETTERS)
+    # Only a text with one of these letters is rewritten.
+    rare = reduce(lambda a, b: a | b, (F.contains(cleaned, F.lit(c)) for c in letters))
+    folded = F.when(rare, F.translate(cleaned, letters, ascii_letters)).otherwise(cleaned)
 
     def any_keyword(text: Column) -> Column:
         hit = F.lit(False)
@@ -96,8 +99,8 @@ def is_crisis(cleaned: Column, keywords: Sequence[str] = K.REFERENCE_KEYWORDS) -
 
 
 def post_id(text: Column) -> Column:
-    """Stable id of a post that came without one: the 64-bit hash of its text."""
-    return F.xxhash64(text).cast("string")
+    """Stable id of a post that came without one: 128 bits of the digest of its text."""
+    return F.left(F.sha2(text, 256), F.lit(32))
 
 
 def words(text: Column) -> Column:

@@ -7,15 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postpulse import constants as K
 from postpulse import functions as P
-from postpulse.functions.sentiment import MAX_LEXICON_WORDS
 from postpulse.functions.text import names
 from postpulse.operators.ranking import top_k
-from postpulse.operators.sizes import broadcast_if_small
 
 
 # --- sentiment ----------------------------------------------------------------
@@ -23,25 +21,18 @@ def with_polarity(
     posts: DataFrame,
     lexicon: DataFrame | Mapping[str, float] = K.LEXICON,
     column: str = "cleaned_text",
-    max_words: int = MAX_LEXICON_WORDS,
 ) -> DataFrame:
     """Add ``polarity``.
 
-    A lexicon of up to ``max_words`` words becomes part of the expression and each
-    row is scored on its own. A larger one is joined with the words of the texts.
+    A mapping is part of the program and becomes part of the expression. A table
+    (``word``, ``polarity``) of any size is joined with the words of the texts: rows
+    with a null are ignored, and of several rows for a word the highest counts.
     """
     if isinstance(lexicon, Mapping):
         return posts.withColumn("polarity", P.polarity(F.col(column), lexicon))
-    distinct = lexicon.groupBy("word").agg(F.max("polarity").alias("polarity"))
-    bounded = distinct.limit(max_words + 1).collect()
-    if len(bounded) <= max_words:
-        table = {row["word"]: row["polarity"] for row in bounded}
-        return posts.withColumn("polarity", P.polarity(F.col(column), table))
-    return _polarity_by_join(posts, distinct, column)
-
-
-def _polarity_by_join(posts: DataFrame, lexicon: DataFrame, column: str) -> DataFrame:
-    """Score each distinct text once, by its digest, and join the scores back."""
+    known = lexicon.select("word", "polarity").dropna().groupBy("word").agg(
+        F.max("polarity").alias("polarity"))
+    # Equal texts have one digest and so one mean, which their number does not change.
     digest = F.sha2(F.coalesce(F.col(column), F.lit("")), 256)
     found = F.regexp_extract_all(F.lower(F.col(column)), F.lit(K.WORD_PATTERN), F.lit(0))
     keyed = posts.withColumn("__digest", digest)
@@ -57,7 +48,7 @@ def _polarity_by_join(posts: DataFrame, lexicon: DataFrame, column: str) -> Data
                     .otherwise(1.0))
     )
     scores = (
-        words.join(broadcast_if_small(lexicon), "word")
+        words.join(known, "word")
         .groupBy("__digest")
         .agg(F.avg(F.col("polarity") * F.col("factor")).alias("mean"))
     )
@@ -77,10 +68,6 @@ def score_posts(
     return scored.withColumn("sentiment", P.sentiment_label(F.col("polarity")))
 
 
-# Up to this many stop words become part of the expressions.
-MAX_STOPWORDS = 10_000
-
-
 # --- words --------------------------------------------------------------------
 def _weights(
     counted: DataFrame, name: str, by: Sequence[str], k: int
@@ -92,15 +79,11 @@ def _weights(
     return best.select(*by, name, "count", weight)
 
 
-def _short_list(
-    words: DataFrame | Sequence[str], max_words: int
-) -> DataFrame | list[str]:
-    """A word table of at most ``max_words`` rows as a list, a larger one as it is."""
+def _word_table(spark: SparkSession, words: DataFrame | Sequence[str]) -> DataFrame:
+    """Words as a table without nulls."""
     if not isinstance(words, DataFrame):
-        return list(words)
-    distinct = words.select("word").distinct()
-    bounded = distinct.limit(max_words + 1).collect()
-    return [row["word"] for row in bounded] if len(bounded) <= max_words else distinct
+        words = spark.createDataFrame([(word,) for word in words], "word string")
+    return words.select("word").dropna().distinct()
 
 
 def word_frequencies(
@@ -109,21 +92,16 @@ def word_frequencies(
     by: Sequence[str] = ("topic",),
     k: int = K.TOP_WORDS,
     column: str = "cleaned_text",
-    max_stopwords: int = MAX_STOPWORDS,
 ) -> DataFrame:
     """Word-cloud weights: the most frequent words that are no stop words.
 
-    Up to ``max_stopwords`` stop words are tested while counting; a larger table of
-    them is joined after counting, against distinct words only.
+    Stop words are taken out after counting, from distinct words only. Nulls among
+    them are ignored.
     """
-    stopwords = _short_list(stopwords, max_stopwords)
     exploded = posts.select(*by, F.explode(P.words(F.col(column))).alias("word"))
-    if not isinstance(stopwords, DataFrame):
-        exploded = exploded.filter(~F.col("word").isin(*stopwords))
     counted = exploded.groupBy(*by, "word").agg(F.count("*").alias("count"))
-    if isinstance(stopwords, DataFrame):
-        counted = counted.join(stopwords.select("word"), "word", "left_anti")
-    return _weights(counted, "word", by, k)
+    known = _word_table(posts.sparkSession, stopwords)
+    return _weights(counted.join(known, "word", "left_anti"), "word", by, k)
 
 
 def word_bigrams(
@@ -132,13 +110,12 @@ def word_bigrams(
     by: Sequence[str] = ("topic",),
     k: int = K.TOP_WORDS,
     column: str = "cleaned_text",
-    max_stopwords: int = MAX_STOPWORDS,
 ) -> DataFrame:
     """Weights of word pairs next to each other in one post, neither a stop word.
 
-    The pairs are built inside the row from the word list and its own tail.
+    The pairs are built inside the row from the word list and its own tail. Stop
+    words are taken out after counting; nulls among them are ignored.
     """
-    stopwords = _short_list(stopwords, max_stopwords)
     listed = posts.select(*by, P.words(F.col(column)).alias("words"))
     pairs = F.arrays_zip(
         F.col("words").alias("first"),
@@ -149,100 +126,63 @@ def word_bigrams(
         .select(*by, "pair.first", "pair.second")
         .filter(F.col("second").isNotNull())
     )
-    if not isinstance(stopwords, DataFrame):
-        exploded = exploded.filter(
-            ~F.col("first").isin(*stopwords) & ~F.col("second").isin(*stopwords)
-        )
     counted = exploded.groupBy(*by, "first", "second").agg(F.count("*").alias("count"))
-    if isinstance(stopwords, DataFrame):
-        for side in ("first", "second"):
-            listed_words = stopwords.select(F.col("word").alias(side))
-            counted = counted.join(listed_words, side, "left_anti")
+    known = _word_table(posts.sparkSession, stopwords)
+    for side in ("first", "second"):
+        counted = counted.join(known.withColumnRenamed("word", side), side, "left_anti")
     named = counted.select(*by, F.concat_ws(" ", "first", "second").alias("bigram"), "count")
     return _weights(named, "bigram", by, k)
 
 
 # --- entities -----------------------------------------------------------------
-# Up to this many entities the dictionary becomes part of the expressions.
-MAX_DICTIONARY = 20_000
-
-# Phrases that can enclose a match of n words, out of two neighbours on each side.
-ENCLOSING = {
-    1: (("b1", "w"), ("w", "a1"), ("b2", "b1", "w"), ("b1", "w", "a1"), ("w", "a1", "a2")),
-    2: (("b1", "w", "a1"), ("w", "a1", "a2")),
-}
-
-
-def _phrase(*parts: str) -> Column:
-    """The named words with spaces between; null if one is missing."""
-    spaced = [part for name in parts for part in (F.lit(" "), F.col(name))][1:]
-    return F.concat(*spaced)
-
-
-def _enclosing_phrases() -> list[Column]:
-    return [
-        F.when(F.col("n") == n, _phrase(*parts))
-        for n, phrases in ENCLOSING.items() for parts in phrases
-    ]
-
-
 def find_entities(
     posts: DataFrame,
     entity_dict: DataFrame,
     keep: Sequence[str] = ("topic", "tweet_id"),
     column: str = "cleaned_text",
-    max_entities: int = MAX_DICTIONARY,
 ) -> DataFrame:
-    """Dictionary entities of one to three words in each post, case kept.
+    """Dictionary entities of any length in each post, case kept.
 
-    A match lying inside a longer one is dropped. Each word carries its neighbours
-    along, so all candidates and everything that could enclose them are known inside
-    the row: nothing is regrouped by post. With up to ``max_entities`` entities only
-    matches leave the rows of the text, without a shuffle; a larger dictionary is
-    joined with the candidates. Result: ``keep``, ``position`` (of the first word),
-    ``entity``, ``label``.
+    Entities are split into words as the texts are, so signs between words do not
+    matter; entries with a null or without a word are ignored. Every run of words that
+    is as long as some entity is looked up by a join. A match lying inside a longer
+    one is dropped. Result: ``keep``, ``position`` (of the first word), ``entity`` as
+    it is in the dictionary, ``label``.
     """
-    labels = entity_dict.select("entity", "label").distinct()
-    labels = labels.filter(F.size(F.split("entity", " ")) <= 3)
-    bounded = labels.limit(max_entities + 1).collect()
-    known = sorted({row["entity"] for row in bounded})
-    small = len(bounded) <= max_entities
-
-    listed = posts.select(*keep, names(F.col(column)).alias("words"))
-    spots = F.transform("words", lambda word, i: i)
-    if small:
-        first_words = sorted({entity.split(" ")[0] for entity in known})
-        spots = F.filter(
-            F.transform("words", lambda word, i: F.when(word.isin(first_words), i)),
-            lambda i: i.isNotNull(),
-        )
-    around = F.transform(spots, lambda i: F.struct(i.alias("position"), *[
-        F.get("words", i + offset).alias(name)
-        for name, offset in (("b2", -2), ("b1", -1), ("w", 0), ("a1", 1), ("a2", 2))
-    ]))
-    placed = listed.select(*keep, F.explode(around).alias("spot")).select(*keep, "spot.*")
-    candidates = F.array(*[
-        F.struct(F.lit(n).alias("n"), _phrase(*("w", "a1", "a2")[:n]).alias("entity"))
-        for n in (1, 2, 3)
-    ])
-    found = placed.select("*", F.explode(candidates).alias("c")).select(
-        *keep, "position", "b2", "b1", "w", "a1", "a2", "c.n", "c.entity"
-    )
-    if small:
-        enclosed = F.lit(False)
-        for phrase in _enclosing_phrases():
-            enclosed = enclosed | F.coalesce(phrase.isin(known), F.lit(False))
-        matches = found.filter(F.col("entity").isin(known)).filter(~enclosed)
-        matches = matches.join(F.broadcast(labels), "entity")
-    else:
-        # Outer joins and a null test, as the optimizer would move anti joins in
-        # front of the join that leaves only matches.
-        matches = found.join(broadcast_if_small(labels), "entity")
-        for i, phrase in enumerate(_enclosing_phrases()):
-            longer = labels.select(F.col("entity").alias(f"longer{i}")).distinct()
-            matches = matches.join(longer, phrase == F.col(f"longer{i}"), "left")
-            matches = matches.filter(F.col(f"longer{i}").isNull()).drop(f"longer{i}")
-    return matches.select(*keep, "position", "entity", "label")
+    labels = entity_dict.select("entity", "label").dropna().distinct().withColumn(
+        "__words", names(F.col("entity")))
+    labels = labels.filter(F.size("__words") > 0).select(
+        "entity", "label", F.array_join("__words", " ").alias("__phrase"),
+        F.size("__words").alias("__n"))
+    # The lengths that occur: a few numbers, whatever the size of the dictionary.
+    lengths = sorted(row[0] for row in labels.select("__n").distinct().collect())
+    if not lengths:
+        lengths = [1]
+    listed = posts.select(
+        *keep, F.xxhash64(column).alias("__text"), names(F.col(column)).alias("__words"))
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size("__words") - n)
+        phrase = (lambda i: F.get("__words", i)) if n == 1 else (
+            lambda i: F.array_join(F.slice("__words", i + 1, n), " "))
+        found = F.transform(starts, lambda i: F.struct(
+            i.alias("position"), F.lit(n).alias("n"), phrase(i).alias("phrase")))
+        return F.when(F.size("__words") >= n, found).otherwise(
+            F.array().cast("array<struct<position:int,n:int,phrase:string>>"))
+
+    placed = listed.select(*keep, "__text", F.explode(F.concat(*map(runs, lengths))).alias("r"))
+    found = placed.select(*keep, "__text", "r.*").join(
+        labels.drop("__n"), F.col("phrase") == F.col("__phrase"))
+    # Inside a post, a match is enclosed if an earlier or longer one reaches its end.
+    post = [*keep, "__text"]
+    reach = F.max(F.col("position") + F.col("n")).over(
+        Window.partitionBy(*post).orderBy("position", F.desc("n"))
+        .rowsBetween(Window.unboundedPreceding, -1))
+    spans = found.groupBy(*post, "position", "n").agg(
+        F.collect_list(F.struct("entity", "label")).alias("__hits"))
+    open_spans = spans.withColumn("__reach", reach).filter(
+        F.col("__reach").isNull() | (F.col("__reach") < F.col("position") + F.col("n")))
+    return open_spans.select(*keep, "position", F.inline("__hits"))
 
 
 def entity_counts(

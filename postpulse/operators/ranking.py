@@ -7,12 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this k Spark keeps only the first k rows of a group on each side of the
-# shuffle (its window group limit); above it we split the groups ourselves.
-GROUP_LIMIT = 1000
-SPLITS = 64
-
-
 def top_k(
     rows: DataFrame,
     by: Sequence[str],
@@ -22,8 +16,10 @@ def top_k(
 ) -> DataFrame:
     """The first ``k`` rows of every group in a total ``order``.
 
-    A group is never sorted in one task as a whole: each input partition first cuts
-    it to ``k`` rows. ``rank`` names a column for the position, if wanted.
+    Each input partition first cuts a group to ``k`` rows, so a large group does not
+    reach one task as a whole: Spark's window group limit does that up to a threshold,
+    above it the groups are cut by input partition. ``rank`` names a column for the
+    position, if wanted.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -35,9 +31,9 @@ def top_k(
             F.col(position) <= k
         )
 
-    if k > GROUP_LIMIT:
-        split = F.pmod(F.xxhash64(*rows.columns), F.lit(SPLITS))
-        rows = cut(rows.withColumn("__split", split), [*by, "__split"])
+    limit = int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if k > limit:
+        rows = cut(rows.withColumn("__split", F.spark_partition_id()), [*by, "__split"])
         rows = rows.drop(position, "__split")
     ranked = cut(rows, by)
     if rank:

@@ -25,10 +25,14 @@ def distinct_locations(posts: DataFrame) -> DataFrame:
 
 
 def recent_topics(searches: DataFrame, k: int = K.TOP_TOPICS) -> DataFrame:
-    """The most recently searched topics, each once, with the time of the last run."""
+    """The most recently searched topics, each once, with the time of the last run.
+
+    Topics are compared without case, as runs do; the newest spelling is shown.
+    """
+    newest = F.max(F.struct("timestamp", "topic")).alias("newest")
     return (
-        searches.groupBy("topic")
-        .agg(F.max("timestamp").alias("last_search"))
+        searches.groupBy(F.lower("topic")).agg(newest)
+        .select("newest.topic", F.col("newest.timestamp").alias("last_search"))
         .orderBy(F.desc("last_search"), F.asc("topic"))
         .limit(k)
     )

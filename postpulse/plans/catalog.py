@@ -31,7 +31,9 @@ QUERIES: dict[str, Query] = {}
 ENTITIES = (
     ("SparkDev", "PRODUCT"), ("Tech", "ORG"), ("Emergency", "EVENT"),
     ("purchase Tech", "DEAL"), ("bad view", "REVIEW"), ("bad view SparkDev", "REVIEW"),
-    ("terrible error spark", "INCIDENT"),
+    ("terrible error spark", "INCIDENT"), ("not good bad view", "VERDICT"),
+    ("not good bad view SparkDev", "VERDICT"), ("terrible-error", "FAULT"), ("Tech", "ORG"),
+    (None, "ORG"), ("view", None), ("--", "SIGN"),
 )
 IMPORT_TIME = datetime(2024, 3, 1, 12, 0, 0)
 
@@ -123,11 +125,11 @@ def landed_csv(spark: SparkSession, sf_dir: str) -> str:
 
 
 def landed_responses(spark: SparkSession, sf_dir: str) -> str:
-    """Posts as API responses of one post each."""
+    """Posts as API responses of one post each; every 23rd comes without id."""
     path = scratch_path(spark, "responses")
     author = F.when(F.col("event_id") % 19 == 0, "gone").otherwise(F.col("username"))
     post = F.struct(
-        F.col("tweet_id").alias("id"), "text", "created_at", author.alias("author_id"),
+        F.when(F.col("event_id") % 23 != 0, F.col("tweet_id")).alias("id"), "text", "created_at", author.alias("author_id"),
         F.struct("retweet_count", "like_count").alias("public_metrics"),
     )
     user = F.struct(
@@ -177,11 +179,14 @@ def entity_dict(spark: SparkSession) -> DataFrame:
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(K.LEXICON.items()), "word string, polarity double")
+    """The lexicon as a table, with a null word, a null polarity and a lower duplicate."""
+    flawed = [*K.LEXICON.items(), (None, 0.5), ("the", None), ("great", -1.0)]
+    return spark.createDataFrame(flawed, "word string, polarity double")
 
 
 def stopwords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(word,) for word in K.STOPWORDS], "word string")
+    """The stop words as a table, with a null and a duplicate."""
+    return spark.createDataFrame([(word,) for word in (*K.STOPWORDS, None, "the")], "word string")
 
 
 def joined(tags: Column) -> Column:
@@ -666,8 +671,8 @@ def txt_polarity(spark, sf_dir):
 
 @query
 def txt_polarity_joined(spark, sf_dir):
-    """The same with the lexicon joined, as for one too large for the expression."""
-    frame = nlp.with_polarity(cleaned(spark, sf_dir), lexicon(spark), max_words=0)
+    """The same with the lexicon as part of the expression."""
+    frame = nlp.with_polarity(cleaned(spark, sf_dir), K.LEXICON)
     return frame.select("tweet_id", "polarity")
 
 
@@ -678,8 +683,11 @@ def txt_entities(spark, sf_dir):
 
 @query
 def txt_entities_joined(spark, sf_dir):
-    """The same with the dictionary joined, as for one too large for the expressions."""
-    return nlp.find_entities(cleaned(spark, sf_dir), entity_dict(spark), max_entities=0)
+    """The same with single words of the dictionary and its longer entries apart."""
+    words = F.size(F.split(F.regexp_replace("entity", "-", " "), " "))
+    known = entity_dict(spark).withColumn("words", words)
+    parts = [known.filter("words > 1"), known.filter("words = 1 OR entity IS NULL")]
+    return nlp.find_entities(cleaned(spark, sf_dir), parts[0].union(parts[1]))
 
 
 @query
@@ -699,40 +707,47 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
+def late_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of posts in several files and micro-batches, each over the whole time, so
+    that many posts are hours late."""
+    events, path = V.table(spark, sf_dir, "events"), scratch_path(spark, "events")
+    events.repartition(4, "event_id").write.parquet(path)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return V.posts_from(spark, sf_dir, arriving)
+
+
 def streamed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.posts_from(spark, sf_dir, streamed_events(spark, sf_dir))
 
 
-def _updated(spark: SparkSession, view: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Run an update-mode view over all input and read its final state."""
-    path, checkpoint = scratch_path(spark, "updates"), scratch_path(spark, "checkpoint")
-    stream_sinks.start_updates(view, path, checkpoint).awaitTermination()
-    return stream_sinks.read_updates(spark, path, keys)
+def _counted(stream: DataFrame, view: stream_views.CountView) -> DataFrame:
+    """Run a view over all input and read it, from compacted sums."""
+    spark = stream.sparkSession
+    path, checkpoint = scratch_path(spark, "counts"), scratch_path(spark, "checkpoint")
+    stream_sinks.start_counts(stream, view, path, checkpoint).awaitTermination()
+    stream_sinks.compact_counts(spark, path, view, stream.schema)
+    return stream_sinks.read_counts(spark, path, view, stream.schema)
 
 
 @query
 def st_hourly_volume(spark, sf_dir):
-    view = stream_views.hourly_volume(streamed_posts(spark, sf_dir))
-    return _updated(spark, view, ("topic", "hour"))
+    return _counted(late_posts(spark, sf_dir), stream_views.hourly_volume())
 
 
 @query
 def st_hashtag_counts(spark, sf_dir):
-    view = stream_views.running_hashtag_counts(streamed_posts(spark, sf_dir))
-    return _updated(spark, view, ("topic", "hashtag"))
+    return _counted(late_posts(spark, sf_dir), stream_views.hashtag_counts())
 
 
 @query
 def st_sentiment_counts(spark, sf_dir):
-    frame = nlp.score_posts(streamed_posts(spark, sf_dir))
-    view = stream_views.running_sentiment_counts(frame)
-    return _updated(spark, view, ("topic", "sentiment"))
+    return _counted(nlp.score_posts(late_posts(spark, sf_dir)), stream_views.sentiment_counts())
 
 
 @query
 def st_crisis_score(spark, sf_dir):
-    frame = streamed_posts(spark, sf_dir).withColumn("cleaned_text", P.clean_text(F.col("text")))
-    return _updated(spark, stream_views.crisis_scores(frame), ("topic", "hour"))
+    frame = late_posts(spark, sf_dir).withColumn("cleaned_text", P.clean_text(F.col("text")))
+    return _counted(frame, stream_views.crisis_scores())
 
 
 @query

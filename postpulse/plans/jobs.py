@@ -22,15 +22,19 @@ def import_csv(
     lexicon: DataFrame | Mapping[str, float] = K.LEXICON,
     now: datetime | None = None,
     literal: bool = False,
+    multiline: bool = True,
 ) -> None:
     """Import the rows of a CSV on a topic; repeat a failed import with its ``batch_id``.
 
-    A run of the topic is continued whatever its age. A file without a text column,
-    or without a row on the topic, is rejected.
+    Files of one import may have different headers; without line breaks inside cells,
+    ``multiline=False`` splits large files. A run of the topic is continued whatever its age. A file without a text column,
+    or without a row on the topic, is rejected. A repeated import replaces the first one
+    and keeps its time, if that opened a run.
     """
-    posts = csv_posts.read_posts(spark, path, topic, now, literal)
-    quality.require_rows(posts, f"topic {topic!r}")
     store.init_tables(spark, root)
+    now = now or store.first_time_of(spark, root, batch_id)
+    posts = csv_posts.read_posts(spark, path, topic, now, literal, multiline)
+    quality.require_rows(posts, f"topic {topic!r}")
     store.ingest(root, nlp.score_posts(posts, lexicon), batch_id)
 
 

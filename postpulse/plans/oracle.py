@@ -12,7 +12,9 @@ def _text(value: str) -> str:
 
 def _values(rows, names: str) -> str:
     body = ", ".join(
-        "(" + ", ".join(_text(v) if isinstance(v, str) else f"{v}::DOUBLE" for v in row) + ")"
+        "(" + ", ".join(
+            "NULL" if v is None else _text(v) if isinstance(v, str) else f"{v}::DOUBLE"
+            for v in row) + ")"
         for row in rows
     )
     return f"(SELECT * FROM (VALUES {body}) AS v({names}))"
@@ -131,7 +133,8 @@ CSV = f"""{POSTS}, cells AS (SELECT text AS "Tweet_Text",
  CASE WHEN event_id % 2 = 1 THEN CAST(like_count AS VARCHAR) ELSE '0' END AS "Favorites",
  nullif(location, '') AS "Country", {TAG_CELL} AS "Hashtags", event_type FROM posts)"""
 
-API_COLUMNS = """topic, created_at AS requested_at, tweet_id, text, created_at, retweet_count,
+API_COLUMNS = """topic, created_at AS requested_at, CASE WHEN event_id % 23 <> 0 THEN tweet_id
+ ELSE left(sha256(text), 32) END AS tweet_id, text, created_at, retweet_count,
  like_count, CASE WHEN event_id % 19 = 0 THEN 'unknown' ELSE username END AS username,
  CASE WHEN event_id % 19 = 0 THEN 0 ELSE user_followers END AS user_followers,
  CAST(NULL AS VARCHAR) AS location, platform"""
@@ -146,14 +149,16 @@ listed AS (SELECT topic, list_filter(list_transform(regexp_extract_all(lower(cle
  lambda w: NOT regexp_full_match(w, '[0-9]*')) AS w FROM cleaned)"""
 
 NAME = _text(K.NAME_PATTERN)
-ENTITIES_FOUND = f"""{CLEANED}, entity_dict AS {ENTITY_DICT},
+ENTITIES_FOUND = f"""{CLEANED}, listed_entities AS {ENTITY_DICT},
+entity_dict AS (SELECT DISTINCT entity, label, array_to_string(e, ' ') AS phrase, e[1] AS head,
+ len(e) AS n FROM (SELECT entity, label, regexp_extract_all(entity, {NAME}) AS e
+ FROM listed_entities) WHERE entity IS NOT NULL AND label IS NOT NULL AND len(e) > 0),
 names AS (SELECT topic, tweet_id, regexp_extract_all(cleaned_text, {NAME}) AS w FROM cleaned),
-placed AS (SELECT topic, tweet_id, unnest(list_zip(w, w[2:], w[3:])) AS z,
- generate_subscripts(w, 1) - 1 AS position FROM names),
-grams AS (SELECT topic, tweet_id, position, 1 AS n, z[1] AS entity FROM placed
- UNION ALL SELECT topic, tweet_id, position, 2, z[1] || ' ' || z[2] FROM placed
- UNION ALL SELECT topic, tweet_id, position, 3, z[1] || ' ' || z[2] || ' ' || z[3] FROM placed),
-matches AS (SELECT * FROM grams JOIN entity_dict USING (entity)),
+placed AS (SELECT * FROM (SELECT topic, tweet_id, w, unnest(range(len(w))) AS position FROM names)
+ WHERE w[position + 1] IN (SELECT head FROM entity_dict)),
+matches AS (SELECT p.topic, p.tweet_id, p.position, d.n, d.entity, d.label FROM placed p
+ JOIN entity_dict d ON d.head = p.w[p.position + 1]
+ AND d.phrase = array_to_string(p.w[p.position + 1:p.position + d.n], ' ')),
 entities AS (SELECT topic, tweet_id, CAST(position AS INTEGER) AS position, entity, label
  FROM matches m WHERE NOT EXISTS (SELECT 1 FROM matches o WHERE o.tweet_id = m.tweet_id
   AND o.n > m.n AND o.position <= m.position AND o.position + o.n >= m.position + m.n))"""

@@ -14,7 +14,8 @@ def posts_of(responses: DataFrame) -> DataFrame:
     """One row per post of each response, with its author.
 
     Authors come with the response (at most 100), so they are looked up inside the
-    row. A post without author stays, unnamed; a response without posts gives none.
+    row. A post without author stays, unnamed; one without id gets that of its text; a
+    response without posts gives none.
     """
     users = F.col("includes.users")
     author = F.get(
@@ -26,7 +27,7 @@ def posts_of(responses: DataFrame) -> DataFrame:
     return exploded.withColumn("author", author).select(
         "topic",
         "requested_at",
-        F.col("post.id").alias("tweet_id"),
+        F.coalesce("post.id", P.post_id(F.coalesce("post.text", F.lit("")))).alias("tweet_id"),
         P.fill_text(F.col("post.text"), "").alias("text"),
         F.coalesce("post.created_at", "requested_at").alias("created_at"),
         F.coalesce("post.public_metrics.retweet_count", F.lit(0).cast("long"))

@@ -14,14 +14,39 @@ from postpulse.operators.filters import filter_topic_rows
 from postpulse.operators.quality import require_columns
 
 
+def files_by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
+    """The files below ``path``, those with the same first line together.
+
+    First lines are read by tasks, from the first block of each file; what reaches the
+    driver is a line per file, as a listing of the files does.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value").where("_metadata.file_block_start = 0")
+    first = lines.groupBy("file").agg(F.first("value").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        groups.setdefault(row["header"].removeprefix("\ufeff").rstrip("\r"), []).append(row["file"])
+    return list(groups.values()) or [[path] if isinstance(path, str) else path]
+
+
 def read_csv(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
     """All columns as text, missing-value spellings as null.
 
-    With ``multiline`` a cell may hold line breaks, and a file is read by one task;
-    turn it off to split large files that have none.
+    Files with different headers are read apart and put together by column names; a
+    column that a file lacks is null in its rows. With ``multiline`` a cell may hold
+    line breaks, and a file is read by one task; turn it off to split large files that
+    have none.
     """
+    merged = None
+    for files in files_by_header(spark, path):
+        frame = _read_alike(spark, files, multiline)
+        merged = frame if merged is None else merged.unionByName(frame, allowMissingColumns=True)
+    return merged
+
+
+def _read_alike(spark: SparkSession, files: list[str], multiline: bool) -> DataFrame:
     frame = spark.read.csv(
-        path, header=True, multiLine=multiline, quote='"', escape='"',
+        files, header=True, multiLine=multiline, quote='"', escape='"',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     return frame.select([
@@ -103,6 +128,10 @@ def read_posts(
     ``now`` stands for unreadable times; it is fixed once per import.
     """
     now = now or datetime.now(UTC).replace(tzinfo=None, microsecond=0)
-    named = alias_columns(read_csv(spark, path, multiline))
-    matching = filter_topic_rows(fill_defaults(named, now), topic, "hashtags", literal)
+    named = None
+    for files in files_by_header(spark, path):
+        # Headers are mapped, and missing columns filled, as each kind of file has them.
+        filled = fill_defaults(alias_columns(_read_alike(spark, files, multiline)), now)
+        named = filled if named is None else named.unionByName(filled, allowMissingColumns=True)
+    matching = filter_topic_rows(named, topic, "hashtags", literal)
     return typed_posts(matching, topic, now)

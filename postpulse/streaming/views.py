@@ -1,64 +1,69 @@
-"""Streaming views. The batch operators do the counting; these add event time."""
+"""Streaming views.
+
+Counts are taken per micro-batch by the batch operators and summed up on read. No post
+is too late for them, as nothing waits for a watermark. Only ``dedupe`` keeps state.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postpulse import constants as K
 from postpulse import functions as P
-from postpulse.operators.counts import hashtag_counts, with_crisis_score
+from postpulse.operators import counts
 
 DEFAULT_DELAY = "1 hour"
 DEDUPE_SPLITS = 16
 
 
-def timed(posts: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
-    """Posts with a watermark on ``created_at``; posts later than ``delay`` may be dropped."""
-    posts = posts.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return posts.withWatermark("created_at", delay)
+@dataclass(frozen=True)
+class CountView:
+    """A view of counts by ``keys``: ``count`` counts a set of posts, sums of such counts
+    count all, and ``finish`` turns the sums into the view."""
 
+    keys: tuple[str, ...]
+    count: Callable[[DataFrame], DataFrame]
+    finish: Callable[[DataFrame], DataFrame] = lambda sums: sums
 
-def _by_hour(posts: DataFrame, by: Sequence[str], *measures: Column) -> DataFrame:
-    grouped = posts.groupBy(F.window("created_at", "1 hour"), *by).agg(*measures)
-    return grouped.withColumn("hour", F.col("window.start")).drop("window")
 
-
-def hourly_volume(
-    posts: DataFrame, by: Sequence[str] = ("topic",), delay: str = DEFAULT_DELAY
-) -> DataFrame:
-    """Posts per hour; the state holds only hours the watermark has not passed."""
-    counted = _by_hour(timed(posts, delay), by, F.count("*").alias("count"))
-    return counted.select(*by, "hour", "count")
+def hourly_volume(by: Sequence[str] = ("topic",)) -> CountView:
+    """Posts per hour, however late they come."""
+    return CountView((*by, "hour"), lambda posts: counts.hourly_volume(posts, by))
 
 
-def running_hashtag_counts(posts: DataFrame, by: Sequence[str] = ("topic",)) -> DataFrame:
-    """Running count per tag; use update mode."""
-    return hashtag_counts(posts, by)
+def hashtag_counts(by: Sequence[str] = ("topic",)) -> CountView:
+    """Posts per tag."""
+    return CountView((*by, "hashtag"), lambda posts: counts.hashtag_counts(posts, by))
 
 
-def running_sentiment_counts(
-    scored: DataFrame, by: Sequence[str] = ("topic",)
-) -> DataFrame:
-    """Running count per sentiment of scored posts; use update mode."""
-    return scored.groupBy(*by, "sentiment").agg(F.count("*").alias("count"))
+def sentiment_counts(by: Sequence[str] = ("topic",)) -> CountView:
+    """Scored posts per sentiment."""
+    return CountView((*by, "sentiment"), lambda scored: scored.groupBy(*by, "sentiment").agg(
+        F.count("*").alias("count")))
 
 
 def crisis_scores(
-    cleaned: DataFrame,
-    by: Sequence[str] = ("topic",),
-    delay: str = DEFAULT_DELAY,
-    keywords: Sequence[str] = K.REFERENCE_KEYWORDS,
-) -> DataFrame:
-    """Crisis score per hour of posts with ``cleaned_text``."""
-    counted = _by_hour(
-        timed(cleaned, delay), by,
-        F.count_if(P.is_crisis(F.col("cleaned_text"), keywords)).alias("crisis_posts"),
-        F.count("*").alias("total_posts"),
-    )
-    return with_crisis_score(counted)
+    by: Sequence[str] = ("topic",), keywords: Sequence[str] = K.REFERENCE_KEYWORDS
+) -> CountView:
+    """Crisis score per hour of posts with ``cleaned_text``, however late they come."""
+    def count(cleaned: DataFrame) -> DataFrame:
+        hour = F.date_trunc("hour", F.col("created_at").cast("timestamp"))
+        return cleaned.withColumn("hour", hour).filter(F.col("hour").isNotNull()).groupBy(
+            *by, "hour").agg(
+            F.count_if(P.is_crisis(F.col("cleaned_text"), keywords)).alias("crisis_posts"),
+            F.count("*").alias("total_posts"))
+
+    return CountView((*by, "hour"), count, counts.with_crisis_score)
+
+
+def timed(posts: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
+    """Posts with a watermark on ``created_at``; posts later than ``delay`` may be dropped."""
+    posts = posts.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return posts.withWatermark("created_at", delay)
 
 
 def dedupe(
@@ -69,10 +74,19 @@ def dedupe(
 ) -> DataFrame:
     """Each post once, however often it was polled within the watermark delay.
 
-    Copies of one post are first thinned in ``splits`` parts by where they were read,
-    so that a post making up much of the stream does not pass through one task.
+    A post that came without id has none or that of its text; such posts are the same
+    only if text, author and time are. Copies of one post are first thinned in
+    ``splits`` parts by where they were read, so that a post making up much of the
+    stream does not pass through one task.
     """
+    nameless = F.lit(False)
+    if "text" in posts.columns:
+        nameless = F.col("tweet_id").isNull() | (F.col("tweet_id") == P.post_id(F.col("text")))
+    told_apart_by = [c for c in ("text", "username", "created_at") if c in posts.columns]
+    content = F.sha2(F.to_json(F.struct(*told_apart_by)), 256)
+    named = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
     split = F.pmod(F.spark_partition_id(), F.lit(splits))
-    thinned = timed(posts, delay).withColumn("__split", split)
-    thinned = thinned.dropDuplicatesWithinWatermark([*keys, "__split"]).drop("__split")
-    return thinned.dropDuplicatesWithinWatermark(list(keys))
+    thinned = timed(posts, delay).withColumn(
+        "__post", F.when(nameless, content).otherwise(named)).withColumn("__split", split)
+    thinned = thinned.dropDuplicatesWithinWatermark(["__post", "__split"]).drop("__split")
+    return thinned.dropDuplicatesWithinWatermark(["__post"]).drop("__post")

@@ -64,6 +64,18 @@ def test_csv_aliases_coalesce_in_order(spark, tmp_path):
         "text": "t2", "like_count": "7", "hashtags": "#a", "location": "x"}
 
 
+def test_csv_files_with_other_headers_are_read_by_name(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("Text,User,Hashtags,Likes\nhello,ann,#x,7\n")
+    (tmp_path / "2.csv").write_text("User,Tweet,Likes,Hashtags\nbob,world,9,#x\n")
+    (tmp_path / "3.csv").write_text("text,hashtags\nbare,#x\n")
+    posts = csv_posts.read_posts(spark, str(tmp_path), "x", NOW)
+    found = {r["text"]: (r["username"], r["like_count"], r["created_at"]) for r in posts.collect()}
+    assert found == {"hello": ("ann", 7, NOW), "world": ("bob", 9, NOW),
+                     "bare": ("unknown", 0, NOW)}
+    raw = csv_posts.read_csv(spark, str(tmp_path))
+    assert {r["User"] for r in raw.collect()} == {"ann", "bob", None}
+
+
 def test_csv_without_text_or_topic_is_rejected(spark, tmp_path, csv_file):
     path = tmp_path / "b.csv"
     path.write_text("Hashtags\n#python\n")
@@ -155,6 +167,21 @@ def test_csv_import_continues_the_newest_run(spark, csv_file, tmp_path):
     assert sum(shares.values()) == 12
 
 
+def test_a_retry_on_another_day_leaves_one_copy(spark, csv_file, tmp_path):
+    root = str(tmp_path / "store")
+    jobs.import_csv(spark, csv_file, "python", root, "b 1", now=datetime(2024, 1, 1, 23, 59))
+    once = contents(spark, root)
+    jobs.import_csv(spark, csv_file, "python", root, "b 1")
+    assert contents(spark, root) == once
+    jobs.import_csv(spark, csv_file, "python", root, "b 1", now=datetime(2024, 1, 2, 0, 5))
+    again = contents(spark, root)
+    assert {k: len(v) for k, v in again.items()} == {k: len(v) for k, v in once.items()}
+    fewer = tmp_path / "fewer.csv"
+    fewer.write_text("text,hashtags\nno tag in the text,Python\n")
+    jobs.import_csv(spark, str(fewer), "python", root, "b 1", now=datetime(2024, 1, 3))
+    assert len(contents(spark, root)["tweets"]) == 1 and not contents(spark, root)["hashtags"]
+
+
 def test_init_keeps_what_is_there(spark, landed, tmp_path):
     root = str(tmp_path / "store")
     store.init_tables(spark, root)

@@ -10,7 +10,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from postpulse.operators import counts, filters, joins, nlp, quality, ranking, runs, sets, sizes
+from postpulse.operators import counts, filters, joins, nlp, quality, ranking, runs, sets
 from postpulse.session import shared_folder
 
 
@@ -104,16 +104,18 @@ def text_frame(spark):
     )
 
 
-def test_large_lexicon_path_equals_the_expression(spark, rows):
+def test_lexicon_table_equals_the_expression(spark, rows):
     frame = text_frame(spark)
-    lexicon = spark.createDataFrame(list(LEXICON.items()), "word string, polarity double")
+    flawed = [*LEXICON.items(), (None, 1.0), ("fine", None), (next(iter(LEXICON)), -9.0)]
+    lexicon = spark.createDataFrame(flawed, "word string, polarity double")
     columns = ["tweet_id", "polarity"]
-    inside = nlp.with_polarity(frame, lexicon).select(columns)
-    joined = nlp.with_polarity(frame, lexicon, max_words=0).select(columns)
-    assert rows(inside) == rows(joined) == rows(nlp.with_polarity(frame, LEXICON).select(columns))
-    scores = dict(rows(inside))
+    joined = nlp.with_polarity(frame, lexicon).select(columns)
+    assert rows(joined) == rows(nlp.with_polarity(frame, LEXICON).select(columns))
+    scores = dict(rows(joined))
     assert scores["t0"] == 0.8 and scores["t1"] == -0.35 and scores["t2"] == pytest.approx(-0.175)
     assert scores["t4"] == scores["t5"] == 0.0
+    empty = spark.createDataFrame([], "word string, polarity double")
+    assert set(dict(rows(nlp.with_polarity(frame, empty).select(columns))).values()) == {0.0}
 
 
 def plain_entities(text):
@@ -130,14 +132,10 @@ def plain_entities(text):
     return [(i, e, label) for i, _, e in kept for name, label in ENTITIES if name == e]
 
 
-@pytest.mark.parametrize("bound", [0, 1000])
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_entities_are_the_longest_matches(spark, rows, bound, broadcast_rows, monkeypatch):
-    limited = partial(sizes.broadcast_if_small, max_rows=broadcast_rows)
-    monkeypatch.setattr(nlp, "broadcast_if_small", limited)
+def test_entities_are_the_longest_matches(spark, rows):
     frame = text_frame(spark)
     dictionary = spark.createDataFrame(ENTITIES, "entity string, label string")
-    found = nlp.find_entities(frame, dictionary, max_entities=bound)
+    found = nlp.find_entities(frame, dictionary)
     expected = [
         ("x", row["tweet_id"], *match)
         for row in frame.collect() for match in plain_entities(row["cleaned_text"])
@@ -145,10 +143,27 @@ def test_entities_are_the_longest_matches(spark, rows, bound, broadcast_rows, mo
     assert rows(found) == sorted(expected, key=repr)
 
 
-def test_small_dictionary_leaves_no_shuffle(spark):
-    dictionary = spark.createDataFrame(ENTITIES, "entity string, label string")
-    plan = nlp.find_entities(text_frame(spark), dictionary)
-    assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+def test_entities_of_any_length_and_spelling(spark, rows):
+    entities = [
+        ("United States of America", "GPE"), ("United States", "GPE"), ("Coca-Cola", "ORG"),
+        ("O'Reilly", "ORG"), ("United States", "GPE"), (None, "ORG"), ("of", None), ("--", "X"),
+        ("the President of the United States of America", "ROLE"),
+    ]
+    dictionary = spark.createDataFrame(entities, "entity string, label string")
+    texts = [
+        "in the United States of America", "the President of the United States of America spoke",
+        "Coca Cola and Coca-Cola at O'Reilly", "the United States", "", None,
+    ]
+    frame = spark.createDataFrame(
+        [("x", str(i), t) for i, t in enumerate(texts)],
+        "topic string, tweet_id string, cleaned_text string")
+    assert rows(nlp.find_entities(frame, dictionary).drop("topic")) == [
+        ("0", 2, "United States of America", "GPE"),
+        ("1", 0, "the President of the United States of America", "ROLE"),
+        ("2", 0, "Coca-Cola", "ORG"), ("2", 3, "Coca-Cola", "ORG"), ("2", 6, "O'Reilly", "ORG"),
+        ("3", 1, "United States", "GPE"),
+    ]
+    assert nlp.find_entities(frame, dictionary.limit(0)).count() == 0
 
 
 def test_bigrams_stay_inside_a_post(spark, rows):
@@ -158,11 +173,10 @@ def test_bigrams_stay_inside_a_post(spark, rows):
     )
     expected = [("x", "fox red", 1, 0.5), ("x", "red fox", 2, 1.0)]
     assert rows(nlp.word_bigrams(frame, ["the"])) == expected
-    table = spark.createDataFrame([("the",)], "word string")
-    frequent = rows(nlp.word_frequencies(frame, ["the"]))
-    for bound in (0, 10):
-        assert rows(nlp.word_bigrams(frame, table, max_stopwords=bound)) == expected
-        assert rows(nlp.word_frequencies(frame, table, max_stopwords=bound)) == frequent
+    table = spark.createDataFrame([("the",), (None,), ("the",)], "word string")
+    assert rows(nlp.word_bigrams(frame, table)) == expected
+    assert rows(nlp.word_frequencies(frame, table)) == rows(nlp.word_frequencies(frame, ["the"]))
+    assert nlp.word_frequencies(frame, table.limit(0)).count() == 3
 
 
 def test_lda_shape_and_seed(spark, rows):

@@ -798,11 +798,29 @@ def dq_required_columns(spark, sf_dir):
     return checked.groupBy("topic").agg(F.count("text").alias("n_texts"))
 
 
+# Views whose size ``dq_skip_unusable`` reports, by the query that computes each.
+SIZED_VIEWS = {
+    "agg_hourly_volume": counts.hourly_volume, "agg_top_users": counts.top_users,
+    "agg_influencers": counts.influencers, "agg_location_counts": counts.location_counts,
+}
+
+
 @query
 def dq_skip_unusable(spark, sf_dir):
-    """Nothing was posted on this topic: the view of it is empty, not an error."""
-    nothing = filters.filter_topic(posts(spark, sf_dir), "nobody wrote about this")
-    return counts.hourly_volume(nothing)
+    """The size of every view, of all posts and of a topic nobody wrote about: the view of
+    nothing is empty, not an error."""
+    everything = posts(spark, sf_dir)
+    nothing = filters.filter_topic(everything, "nobody wrote about this")
+    parts = [
+        view(of).agg(F.count("*").alias("n_rows")).select(
+            F.lit(name).alias("view_name"), F.lit(scope).alias("posts"), "n_rows")
+        for name, view in SIZED_VIEWS.items()
+        for scope, of in (("all", everything), ("none", nothing))
+    ]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    return merged
 
 
 @query

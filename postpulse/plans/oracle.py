@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from postpulse import constants as K
-from postpulse.plans.catalog import ENTITIES, IMPORT_TIME
+from postpulse.plans.catalog import ENTITIES, IMPORT_TIME, SIZED_VIEWS
 
 
 def _text(value: str) -> str:
@@ -404,9 +404,14 @@ ORACLE: dict[str, str] = {
     # data checks
     "dq_required_columns": f"""WITH {POSTS} SELECT topic, count(text) AS n_texts FROM posts
  GROUP BY topic""",
-    "dq_skip_unusable": f"SELECT * FROM ({HOURLY}) WHERE topic = 'nobody wrote about this'",
     "dq_sentiment_domain": f"""WITH {SCORED}, spoiled AS (SELECT topic,
  CASE WHEN event_type = 'error' THEN 'Mixed' ELSE sentiment END AS sentiment FROM scored)
  SELECT topic, sentiment, sentiment <> 'Mixed' AS is_valid, count(*) AS n_posts
  FROM spoiled GROUP BY ALL""",
 }
+
+ORACLE["dq_skip_unusable"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS view_name, posts, CASE posts WHEN 'all' THEN n ELSE 0 END AS n_rows"
+    f" FROM (SELECT count(*) AS n FROM ({ORACLE[name]})), (VALUES ('all'), ('none')) AS v(posts)"
+    for name in SIZED_VIEWS
+)

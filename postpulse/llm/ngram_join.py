@@ -16,11 +16,10 @@ holds), and a pair is discarded as soon as its sizes show that it cannot link:
 
 Columns of a few sets give all their pairs. In a column of many sets that would be too
 many, and as only components are asked for, links inside a component that is already
-connected are not computed there: a few rounds compare every set with a few others of
-its columns, drawn anew in each round; the sets that are then not in the largest
-component of a column are compared with all sets of the column in other components. So
-no link between components is lost, and a large group of near copies costs little more
-than its size.
+connected are not computed there: every set is first compared with a few drawn from its
+columns; the sets that are then not in the largest component of a column are compared
+with all sets of the column in other components. So no link between components is lost,
+and a large group of near copies costs little more than its size.
 
 Shingles are 64-bit hashes and sets have 128-bit names.
 """
@@ -52,9 +51,8 @@ RARE = 2048
 SKETCH = 32
 # Columns of up to so many sets give all their pairs at once.
 FEW = 64
-# Rounds of drawn comparisons in other columns, and comparisons of a set in each.
-ROUNDS = 3
-DRAWS = 6
+# Comparisons of a set with others drawn from other columns.
+DRAWS = 12
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -191,7 +189,7 @@ def _marks(places: DataFrame, bits: int) -> np.ndarray:
     blocks = places.groupBy(F.shiftright("place", 15).alias("block")).agg(
         F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
     marks = np.zeros((1 << bits) // 8, np.uint8)
-    for row in blocks.toLocalIterator():
+    for row in blocks.collect():
         marks[row["block"] * 4096:row["block"] * 4096 + 4096] = np.frombuffer(row["bits"], np.uint8)
     return marks
 
@@ -322,15 +320,18 @@ def _open_cells(cells: DataFrame, components: DataFrame) -> DataFrame:
 _CELL = ("node", "n", "at", "component")
 
 
-def _drawn_pairs(held: DataFrame, turn: int) -> DataFrame:
-    """Every set with at most ``DRAWS`` others, one drawn in each of its columns."""
-    draw = F.xxhash64("node", "shingle", F.lit(turn)).alias("draw")
-    leaders = held.groupBy("shingle").agg(F.min(F.struct(draw, *_CELL)).alias("y"))
-    paired = held.join(leaders, "shingle").filter(F.col("component") != F.col("y.component"))
+def _drawn_pairs(cells: DataFrame) -> DataFrame:
+    """Every set in columns of many with at most ``DRAWS`` others, one drawn in each of its
+    columns."""
+    held = cells.filter(F.col("sets") > FEW)
+    draw = F.xxhash64("node", "shingle").alias("draw")
+    leaders = held.groupBy("shingle").agg(F.min(F.struct(draw, "node", "n", "at")).alias("y"))
+    paired = held.join(leaders, "shingle").filter(F.col("node") != F.col("y.node"))
     # Ranks count distinct others; a set has no more rows here than columns.
-    order = Window.partitionBy("node").orderBy(F.xxhash64("y.node", F.lit(turn)), "y.node")
+    order = Window.partitionBy("node").orderBy(F.xxhash64("y.node"), "y.node")
     return paired.withColumn("rank", F.dense_rank().over(order)).filter(
-        F.col("rank") <= DRAWS).select(F.struct(*_CELL).alias("x"), "y")
+        F.col("rank") <= DRAWS).select(
+            F.struct("node", "n", "at").alias("x"), F.struct("y.node", "y.n", "y.at").alias("y"))
 
 
 def _all_pairs_outside(held: DataFrame, percent: int) -> DataFrame:
@@ -361,17 +362,8 @@ def links(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
         cells.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
             F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     sketches = stored(sketches, "sketches")
-    edges = cells.sparkSession.createDataFrame([], "a binary, b binary")
-    components = cells.sparkSession.createDataFrame([], "node binary, component binary")
-    for turn in range(ROUNDS + 2):
-        if not turn:
-            paired = _few_pairs(cells, percent)
-        else:
-            held = stored(_open_cells(cells.filter(F.col("sets") > FEW), components), "open-cells")
-            if held.isEmpty():
-                break
-            paired = (_drawn_pairs(held, turn) if turn <= ROUNDS
-                      else _all_pairs_outside(held, percent))
+    def found(paired: DataFrame) -> DataFrame:
+        """The linked pairs among candidates."""
         pairs = paired.filter(_sizes_allow(percent)).select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
         ).distinct()
@@ -380,13 +372,18 @@ def links(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
                 F.col("node").alias(side), F.col("sketch").alias(sketch),
                 F.col("n").alias(size)), side)
         pairs = stored(pairs.filter(_similar_sketches(percent)).select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            continue
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         owners = cells.select("node", key).distinct().join(nodes, "node", "left_semi")
         sets = stored(whole_sets(docs, owners, key, width), "sets")
-        edges = stored(edges.union(_linked(pairs, sets, percent)), "links")
-        components = connected_components(edges)
+        return _linked(pairs, sets, percent)
+
+    first = _few_pairs(cells, percent).select("x", "y").union(_drawn_pairs(cells))
+    components = stored(connected_components(found(first)), "components")
+    held = stored(_open_cells(cells.filter(F.col("sets") > FEW), components), "open-cells")
+    if not held.isEmpty():
+        # What is connected already counts as links to the component's smallest node.
+        more = found(_all_pairs_outside(held, percent)).union(components.select("node", "component"))
+        components = stored(connected_components(more), "components")
     return matrix, components
 
 

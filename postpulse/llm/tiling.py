@@ -132,7 +132,7 @@ def marks_of(benchmark: DataFrame, least: int) -> np.ndarray:
         F.shiftright("place", 15).alias("block")).agg(
         F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
     marks = np.zeros((1 << MARK_BITS) // 8, np.uint8)
-    for row in blocks.toLocalIterator():  # at most 1,024 blocks of 4 KB
+    for row in blocks.collect():  # at most 1,024 blocks of 4 KB
         marks[row["block"] * 4096:row["block"] * 4096 + 4096] = np.frombuffer(row["bits"], np.uint8)
     return marks
 

@@ -52,7 +52,7 @@ SKETCH = 32
 # Columns of up to so many sets give all their pairs at once.
 FEW = 64
 # Comparisons of a set with others drawn from other columns.
-DRAWS = 12
+DRAWS = 32
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -320,11 +320,11 @@ def _open_cells(cells: DataFrame, components: DataFrame) -> DataFrame:
 _CELL = ("node", "n", "at", "component")
 
 
-def _drawn_pairs(cells: DataFrame) -> DataFrame:
+def _drawn_pairs(cells: DataFrame, salt: int) -> DataFrame:
     """Every set in columns of many with at most ``DRAWS`` others, one drawn in each of its
     columns."""
     held = cells.filter(F.col("sets") > FEW)
-    draw = F.xxhash64("node", "shingle").alias("draw")
+    draw = F.xxhash64("node", "shingle", F.lit(salt)).alias("draw")
     leaders = held.groupBy("shingle").agg(F.min(F.struct(draw, "node", "n", "at")).alias("y"))
     paired = held.join(leaders, "shingle").filter(F.col("node") != F.col("y.node"))
     # Ranks count distinct others; a set has no more rows here than columns.
@@ -377,7 +377,8 @@ def links(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
         sets = stored(whole_sets(docs, owners, key, width), "sets")
         return _linked(pairs, sets, percent)
 
-    first = _few_pairs(cells, percent).select("x", "y").union(_drawn_pairs(cells))
+    first = _few_pairs(cells, percent).select("x", "y").union(
+        _drawn_pairs(cells, 0)).union(_drawn_pairs(cells, 1))
     components = stored(connected_components(found(first)), "components")
     held = stored(_open_cells(cells.filter(F.col("sets") > FEW), components), "open-cells")
     if not held.isEmpty():

@@ -232,3 +232,25 @@ def test_every_repeated_passage_is_found(spark):
             a = words_of(texts[r["doc_id"]])[r["start"]:r["start"] + r["n_words"]]
             b = words_of(texts[r["other_doc_id"]])
             assert a == b[r["other_start"]:r["other_start"] + r["other_words"]]
+
+
+def test_a_second_passage_of_two_texts_is_found(spark):
+    # Two texts share two passages; a third one holds a part of the second, too short for
+    # a passage, and in some of the cases has the smallest hash.
+    chance = random.Random(17)
+    docs, second = [], {}
+    for case in range(0, 240, 3):
+        first, other = prose(chance, 50), prose(chance, 50)
+        part = " ".join(other.split(" ")[4:46])
+        for i in (case, case + 1):
+            start = 40 + i % 7
+            docs.append((i, f"{prose(chance, start)} {first} {prose(chance, 90)} {other} "
+                            f"{prose(chance, 40)}"))
+            second[i] = start + 50 + 90
+        docs.append((case + 2, f"{prose(chance, 60)} {part} {prose(chance, 60)}"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = passages.repeated_passages(frame).collect()
+    hit = {r["doc_id"] for r in found
+           if r["doc_id"] in second and r["start"] <= second[r["doc_id"]] + 2
+           and r["start"] + r["n_words"] >= second[r["doc_id"]] + 48}
+    assert hit == set(second)

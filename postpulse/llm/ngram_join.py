@@ -388,6 +388,22 @@ def links(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
     return matrix, components
 
 
+def _components(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
+    """``jaccard_components`` with ``component``, the component's own name, which no other
+    component has, whatever the keys are. It is null for documents without words."""
+    matrix, components = links(docs, key, width, percent)
+    named = matrix.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("low"))
+    grouped = named.join(components, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
+    by_node = grouped.join(lowest, "component").select("node", "component", "component_id")
+    by_node = stored(by_node, "by-node")
+    return matrix.join(by_node, "node", "left").select(
+        key, F.col("n").alias("n_shingles"), "text_hash",
+        F.coalesce("component_id", F.when(F.col("node").isNull(), F.col(key))).alias("component_id"),
+        F.col("component").alias("__component"))
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", width: int = WIDTH,
                        percent: int = PERCENT) -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` of every document.
@@ -401,29 +417,25 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", width: int = WIDTH,
     are their own component. Repeated rows are documents of their own with equal sets;
     a null key never names a component of documents with keys. Other columns are ignored.
     """
-    matrix, components = links(docs, key, width, percent)
-    named = matrix.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("low"))
-    grouped = named.join(components, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_node = grouped.join(lowest, "component").select("node", "component_id")
-    by_node = stored(by_node, "by-node")
-    return matrix.join(by_node, "node", "left").select(
-        key, F.col("n").alias("n_shingles"), "text_hash",
-        F.coalesce("component_id", F.when(F.col("node").isNull(), F.col(key))).alias("component_id"))
+    return _components(docs, key, width, percent).drop("__component")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", width: int = WIDTH,
                     percent: int = PERCENT) -> DataFrame:
     """One document of each component, with all its columns: the one that names it.
 
-    Of repeated rows one stays. Documents without words are components of their own.
+    Components are told apart by their own name: those whose documents have no key or
+    the key of others keep one document as well. Of repeated rows one stays. Documents
+    without words are components of their own.
     """
-    found = jaccard_components(docs, key, width, percent)
-    chosen = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(
-        "component_id", F.when(F.col("n_shingles") == 0, F.col("text_hash")).alias("empty")
-    ).agg(F.min("text_hash").alias("__text_hash")).select(
-        F.col("component_id").alias("__key"), "__text_hash")
+    found = _components(docs, key, width, percent)
+    wordless = F.col("n_shingles") == 0
+    chosen = found.groupBy(
+        "__component", F.when(wordless, F.col(key)).alias("__own"),
+        F.when(wordless, F.col("text_hash")).alias("__empty"),
+    ).agg(F.min(F.struct(F.col(key).isNull().alias("keyless"), F.col(key).alias("key"),
+                         "text_hash")).alias("__first")).select(
+        F.col("__first.key").alias("__key"), F.col("__first.text_hash").alias("__text_hash"))
     rows = docs.withColumn("__row_hash", F.xxhash64("text"))
     kept = rows.join(chosen.distinct(), rows[key].eqNullSafe(F.col("__key"))
                      & (F.col("__row_hash") == F.col("__text_hash")), "left_semi")

@@ -95,6 +95,20 @@ def test_one_document_of_each_component_stays(documents, rows_of_documents):
     assert ids.count(None) == 1
 
 
+def test_components_without_a_key_of_their_own_keep_a_document(spark):
+    chance = random.Random(21)
+    texts = [prose(chance, 60) for _ in range(12)]
+    rows = [(None, text) for text in texts[:5]] + [(7, text) for text in texts[5:9]]
+    rows += [(None, texts[0]), (None, changed(chance, texts[1], 1)), (7, texts[5]), (3, texts[9]),
+             (None, texts[9]), (4, texts[10]), (7, texts[10]), (None, ""), (None, None), (7, " ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.representatives(frame).collect()]
+    near = {rows[1], rows[10]}
+    assert len(near & set(kept)) == 1
+    expected = [*rows[:1], *rows[2:9], (3, texts[9]), (4, texts[10]), *rows[-3:]]
+    assert sorted(map(repr, kept)) == sorted(map(repr, [*expected, *(near & set(kept))]))
+
+
 def test_empty_tables(spark, documents):
     nothing = documents.limit(0)
     assert ngram_join.jaccard_components(nothing).count() == 0

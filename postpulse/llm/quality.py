@@ -27,11 +27,12 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 
 # A band reaches from its quartiles by this many times their distance, and by a share
-# of the median at least. Groups of fewer documents than MIN_GROUP reject nothing.
+# of the median or a fixed width at least. Groups of fewer documents than MIN_GROUP reject
+# nothing.
 WIDTHS = 3.0
-MIN_SHARES = {"chars_per_token": 0.15, "entropy": 0.02}
+MIN_SHARES = {"chars_per_token": 0.15, "entropy": 0.02, "byte_share": 0.0}
+MIN_WIDTHS = {"chars_per_token": 0.0, "entropy": 0.0, "byte_share": 0.02}
 MIN_GROUP = 30
-MAX_BYTE_SHARE = 0.25
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -146,7 +147,7 @@ def bands(figures: DataFrame) -> DataFrame:
         F.explode(F.array(F.lit(-1), _size_class(F.col("m.n_tokens")))).alias("band_size"), "m")
     quartiles = [
         F.percentile_approx(f"m.{name}", [0.25, 0.5, 0.75], 1000).alias(name)
-        for name in ("chars_per_token", "entropy")
+        for name in MIN_SHARES
     ]
     return good.groupBy("band_lang", "band_size").agg(F.count("*").alias("band_n"), *quartiles)
 
@@ -156,8 +157,10 @@ def base_failed(m: Column) -> Column:
         100 * m["n_repeat_words"] > MAX_REPEATED_PERCENT * m["n_words"])
 
 
-def _outside(value: Column, quartiles: Column, n: Column, least: float) -> Column:
-    spread = F.greatest(WIDTHS * (quartiles[2] - quartiles[0]), least * quartiles[1])
+def _outside(name: str, m: Column, quartiles: Column, n: Column) -> Column:
+    value = m[name]
+    spread = F.greatest(WIDTHS * (quartiles[2] - quartiles[0]), MIN_SHARES[name] * quartiles[1],
+                        F.lit(MIN_WIDTHS[name]))
     off = (value < quartiles[0] - spread) | (value > quartiles[2] + spread)
     return F.coalesce((n >= MIN_GROUP) & off, F.lit(False))
 
@@ -177,13 +180,9 @@ def judged(figures: DataFrame, limits: DataFrame, m: str, verdict: str) -> DataF
     joined = figures.join(whole, lang == F.col("__w_band_lang"), "left").join(
         sized, (lang == F.col("__s_band_lang"))
         & (_size_class(F.col(m)["n_tokens"]) == F.col("__s_band_size")), "left")
-    odd = (
-        _outside(F.col(m)["chars_per_token"], F.col("__w_chars_per_token"), F.col("__w_band_n"),
-                 MIN_SHARES["chars_per_token"])
-        | _outside(F.col(m)["entropy"], F.col("__s_entropy"), F.col("__s_band_n"),
-                   MIN_SHARES["entropy"])
-        | (F.col(m)["byte_share"] > MAX_BYTE_SHARE)
-    )
+    odd = _outside("entropy", F.col(m), F.col("__s_entropy"), F.col("__s_band_n"))
+    for name in ("chars_per_token", "byte_share"):
+        odd = odd | _outside(name, F.col(m), F.col(f"__w_{name}"), F.col("__w_band_n"))
     kept = ~base_failed(F.col(m)) & ~F.coalesce(odd, F.lit(False))
     return joined.select(*figures.columns, kept.alias(verdict))
 

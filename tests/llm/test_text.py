@@ -113,6 +113,26 @@ def test_good_documents_keep_their_columns(spark):
     assert quality.good_documents(frame.limit(0), BYTE_PAIRS, PIECES).count() == 0
 
 
+def test_byte_share_is_judged_by_the_band_of_the_language(spark):
+    """Clean text in a script that the vocabulary spells out in bytes stays; in a language
+    without such text, the same share is junk."""
+    chance = np.random.default_rng(2)
+    letters = [chr(c) for c in range(0x1200, 0x1248) if chr(c).isalpha()]
+    ge_ez = ["".join(chance.choice(letters, 4)) for _ in range(150)]
+    latin = [f"{a}{b}{c}" for a in "bcdfgl" for b in "aeiou" for c in ("n", "r", "st")]
+
+    def prose(words):
+        return " ".join(chance.choice(words, 200))
+
+    mixed = prose([*latin[:40], *ge_ez[:40]])
+    rows = [(i, prose(ge_ez), "am") for i in range(40)]
+    rows += [(100 + i, prose(latin), "en") for i in range(40)] + [(200, mixed, "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in quality.quality(frame, BYTE_PAIRS, PIECES).collect()}
+    assert all(found[i]["byte_share"] > 0.25 for i in range(40))
+    assert {i for i, r in found.items() if r["kept"]} == {*range(40), *range(100, 140)}
+
+
 @pytest.mark.parametrize("limits", [
     packing.Limits(), packing.Limits(64, 3, 64), packing.Limits(64, 8, 20)])
 def test_packing_round_trip(spark, limits):

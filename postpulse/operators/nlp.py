@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from postpulse import constants as K
 from postpulse import functions as P
 from postpulse.functions.text import names
 from postpulse.operators.ranking import top_k
+from postpulse.session import scratch_path
 
 
 # --- sentiment ----------------------------------------------------------------
@@ -203,41 +204,79 @@ def lda_topics(
     words: int = K.LDA_WORDS,
     seed: int = K.LDA_SEED,
     stopwords: Sequence[str] = (),
-    vocabulary: int = 1 << 18,
     column: str = "cleaned_text",
 ) -> DataFrame:
     """Top words of LDA topics: ``topic_id``, ``rank``, ``word``, ``weight``.
 
-    Words are lower-cased runs of letters of 2 to 15 characters. The vocabulary is
-    bounded, so the model on the driver is ``topics * vocabulary`` numbers at most.
+    Words are lower-cased runs of letters of 2 to 15 characters, and all of them are in
+    the model. The weights of words stay distributed, as the EM optimizer keeps them;
+    the driver gets ``topics * words`` rows.
     """
+    spark = posts.sparkSession
+    tokens = _stored(lda_tokens(posts, stopwords, column).withColumn(
+        "post", F.monotonically_increasing_id()), "lda-tokens")
+    numbered = _stored(word_numbers(tokens), "lda-words")
+    size = numbered.count()
+    if not size:
+        return spark.createDataFrame([], LDA_RESULT)
+    counted = tokens.select("post", F.explode("tokens").alias("word")).groupBy(
+        "post", "word").agg(F.count("*").cast("double").alias("n"))
+    sparse = F.udf(lambda terms: Vectors.sparse(size, [(t["term"], t["n"]) for t in terms]),
+                   VectorUDT())
+    # Equal partitions in equal order, so that the same texts give the same model.
+    features = counted.join(numbered, "word").groupBy("post").agg(
+        F.sort_array(F.collect_list(F.struct("term", "n"))).alias("terms")
+    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "post").sortWithinPartitions(
+        "post").select(sparse("terms").alias("features"))
+    # LDA passes over its input many times; the sparse counts spill to disk.
+    features = features.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = LDA(k=topics, seed=seed, optimizer="em").fit(features)
+        described = model.describeTopics(words).select("topic", F.explode(F.arrays_zip(
+            F.col("termIndices").alias("term"), F.col("termWeights").alias("weight"))))
+    finally:
+        features.unpersist()
+    # Sums are taken in any order: what differs behind the 12th digit counts as equal.
+    ranked = Window.partitionBy("topic_id").orderBy(F.desc("weight"), F.asc("word"))
+    return described.select("topic", "col.*").join(numbered, "term").select(
+        F.col("topic").alias("topic_id"), "word", F.round("weight", 12).alias("weight")).select(
+        "topic_id", F.row_number().over(ranked).alias("rank"), "word", "weight")
+
+
+def lda_tokens(posts: DataFrame, stopwords: Sequence[str] = (), column: str = "cleaned_text"
+               ) -> DataFrame:
+    """The words of every post that has any, as ``tokens``."""
     shortest, longest = K.LDA_WORD_LENGTHS
     found = F.regexp_extract_all(F.lower(F.col(column)), F.lit(K.LDA_WORD_PATTERN), F.lit(0))
     tokens = posts.select(F.filter(found, lambda w: F.length(w).between(shortest, longest)
                                    & ~F.startswith(w, F.lit("_"))).alias("tokens"))
-    tokens = tokens.filter(F.size("tokens") > 0)
     if stopwords:
         tokens = tokens.select(F.filter("tokens", lambda w: ~w.isin(*stopwords)).alias("tokens"))
-    # Equal counts are ordered by name, so that the same texts give the same model.
-    frequent = (
-        tokens.select(F.explode("tokens").alias("word"))
-        .groupBy("word").agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), F.asc("word")).limit(vocabulary).select("word")
-    )
-    known = [row["word"] for row in frequent.collect()]
-    if not known:
-        return posts.sparkSession.createDataFrame([], LDA_RESULT)
-    counts = CountVectorizerModel.from_vocabulary(known, inputCol="tokens", outputCol="features")
-    # LDA passes over its input many times; the sparse counts spill to disk.
-    features = counts.transform(tokens).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = LDA(k=topics, seed=seed, optimizer="online").fit(features)
-    finally:
-        features.unpersist()
-    described = model.describeTopics(words).collect()  # topics x words rows
-    rows = [
-        (row["topic"], rank, known[term], float(weight))
-        for row in described
-        for rank, (term, weight) in enumerate(zip(row["termIndices"], row["termWeights"]), 1)
-    ]
-    return posts.sparkSession.createDataFrame(rows, LDA_RESULT)
+    return tokens.filter(F.size("tokens") > 0)
+
+
+def word_numbers(tokens: DataFrame) -> DataFrame:
+    """All words of ``tokens`` in the order of their names, numbered from 0: ``word``, ``term``."""
+    known = tokens.select(F.explode("tokens").alias("word")).distinct().orderBy("word")
+    return known.rdd.map(lambda row: row["word"]).zipWithIndex().toDF("word string, term int")
+
+
+def topic_facts(described: DataFrame, posts: DataFrame, column: str = "cleaned_text") -> DataFrame:
+    """What holds for the words of topics in any model: by ``topic_id`` and ``rank``, whether
+    the word occurs in the texts, occurs once in its topic, has a weight in (0, 1], and
+    none larger than that of the rank before."""
+    known = lda_tokens(posts, column=column).select(F.explode("tokens").alias("word")).join(
+        described.select("word").distinct(), "word", "left_semi").distinct().withColumn(
+        "occurs", F.lit(True))
+    ranked = Window.partitionBy("topic_id").orderBy("rank")
+    return described.join(known, "word", "left").select(
+        "topic_id", "rank", F.coalesce("occurs", F.lit(False)).alias("occurs"),
+        (F.count("*").over(Window.partitionBy("topic_id", "word")) == 1).alias("is_distinct"),
+        ((F.col("weight") > 0) & (F.col("weight") <= 1)).alias("weight_in_range"),
+        F.coalesce(F.col("weight") <= F.lag("weight").over(ranked), F.lit(True)).alias("falling"))
+
+
+def _stored(frame: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

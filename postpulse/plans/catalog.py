@@ -695,6 +695,13 @@ def txt_topics_lda(spark, sf_dir):
     return nlp.lda_topics(cleaned(spark, sf_dir))
 
 
+@query
+def txt_topics_lda_facts(spark, sf_dir):
+    """What SQL can state of the topics, whatever the model."""
+    frame = cleaned(spark, sf_dir)
+    return nlp.topic_facts(nlp.lda_topics(frame), frame)
+
+
 @query
 def txt_geo_resolve(spark, sf_dir):
     located = sets.distinct_locations(posts(spark, sf_dir))

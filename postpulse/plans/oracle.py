@@ -386,6 +386,15 @@ ORACLE: dict[str, str] = {
     "txt_polarity_joined": f"WITH {SCORED} SELECT tweet_id, polarity FROM scored",
     "txt_entities": f"WITH {ENTITIES_FOUND} SELECT * FROM entities",
     "txt_entities_joined": f"WITH {ENTITIES_FOUND} SELECT * FROM entities",
+    # Every rank of every topic has a word of the texts, as far as they have so many words.
+    "txt_topics_lda_facts": f"""WITH {CLEANED}, tokens AS (SELECT unnest(regexp_extract_all(
+ lower(cleaned_text), {_text(K.LDA_WORD_PATTERN)})) AS word FROM cleaned), known AS (
+ SELECT count(DISTINCT word) AS n FROM tokens WHERE length(word) BETWEEN
+ {K.LDA_WORD_LENGTHS[0]} AND {K.LDA_WORD_LENGTHS[1]} AND NOT starts_with(word, '_'))
+ SELECT CAST(t.topic AS INTEGER) AS topic_id, CAST(r.rank AS INTEGER) AS rank, true AS occurs,
+ true AS is_distinct, true AS weight_in_range, true AS falling
+ FROM known, range({K.LDA_TOPICS}) AS t(topic), range(1, {K.LDA_WORDS} + 1) AS r(rank)
+ WHERE r.rank <= n""",
     "txt_geo_resolve": f"""WITH {LOCATED} SELECT * FROM (SELECT DISTINCT location FROM counted)
  LEFT JOIN gazetteer USING (location)""",
     # streams

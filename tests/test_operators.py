@@ -179,6 +179,17 @@ def test_bigrams_stay_inside_a_post(spark, rows):
     assert nlp.word_frequencies(frame, table.limit(0)).count() == 3
 
 
+def test_lda_numbers_every_word(spark):
+    """More words than the 262,144 that the model once kept."""
+    n, letters = 300_000, "abcdefghij"
+    texts = spark.range(n).select(F.translate(
+        F.format_string("w%06d", "id"), "0123456789", letters).alias("cleaned_text"))
+    numbered = nlp.word_numbers(nlp.lda_tokens(texts))
+    assert numbered.agg(
+        F.countDistinct("word"), F.countDistinct("term"), F.min("term"), F.max("term")
+    ).first() == (n, n, 0, n - 1)
+
+
 def test_lda_shape_and_seed(spark, rows):
     texts = [("cats dogs pets cats animal",), ("stocks bonds money market",), ("goal match team",)]
     frame = spark.createDataFrame(texts * 20, "cleaned_text string")

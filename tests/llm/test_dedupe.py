@@ -268,3 +268,40 @@ def test_a_second_passage_of_two_texts_is_found(spark):
            if r["doc_id"] in second and r["start"] <= second[r["doc_id"]] + 2
            and r["start"] + r["n_words"] >= second[r["doc_id"]] + 48}
     assert hit == set(second)
+
+
+def edited(chance, text, places):
+    words = text.split(" ")
+    for place in places:
+        words[place] = f"x{chance.randrange(10 ** 6)}"
+    return " ".join(words)
+
+
+def test_near_passages_are_found(spark):
+    # One edit in 50 words: 41 of 51 shingles agree.
+    chance = random.Random(23)
+    docs, planted = [], {}
+    for case in range(0, 400, 2):
+        passage, at = prose(chance, 50), 30 + case % 20
+        near = edited(chance, passage, [4 + case % 42])
+        a, b = shingles(passage), shingles(near)
+        assert 100 * len(a & b) >= 80 * len(a | b)
+        for i, text in ((case, passage), (case + 1, near)):
+            docs.append((i, f"{prose(chance, at)} {text} {prose(chance, 40)}"))
+            planted[i] = case
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = passages.repeated_passages(frame).collect()
+    assert {r["doc_id"] // 2 for r in found} == {case // 2 for case in planted.values()}
+    assert all(r["doc_id"] // 2 == r["other_doc_id"] // 2 and r["jaccard"] >= 0.8 for r in found)
+
+
+def test_near_passages_in_another_order_are_aligned():
+    import numpy as np
+
+    one, two = list(range(1000, 1100)), list(range(2000, 2100))
+    near = [[v if i % 25 > 2 else v + 50_000 for i, v in enumerate(part)] for part in (one, two)]
+    x, y = np.array(one + two), np.array([*near[1], *range(9000, 9100), *near[0]])
+    found = passages.aligned(x, y, 50, 80)
+    covered = {i for start, n, *_ in found for i in range(start, start + n - 4)}
+    assert len(found) >= 2 and len(covered & set(range(100))) > 80
+    assert len(covered & set(range(100, 200))) > 80

@@ -21,7 +21,6 @@ from postpulse.session import scratch_path
 from postpulse.sinks import export, store
 from postpulse.sources import api, csv_posts
 from postpulse.sources import store as stored
-from postpulse.streaming import runs as stream_runs
 from postpulse.streaming import sinks as stream_sinks
 from postpulse.streaming import views as stream_views
 
@@ -714,13 +713,17 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def late_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of posts in several files and micro-batches, each over the whole time, so
-    that many posts are hours late."""
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of events in several files and micro-batches, each over the whole time, so
+    that many are hours late."""
     events, path = V.table(spark, sf_dir, "events"), scratch_path(spark, "events")
     events.repartition(4, "event_id").write.parquet(path)
-    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return V.posts_from(spark, sf_dir, arriving)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def late_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts of ``late_events``."""
+    return V.posts_from(spark, sf_dir, late_events(spark, sf_dir))
 
 
 def streamed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -759,27 +762,25 @@ def st_crisis_score(spark, sf_dir):
 
 @query
 def st_dedupe_posts(spark, sf_dir):
-    """Each post arrives three times."""
-    copies = streamed_events(spark, sf_dir).withColumn(
+    """Each post arrives three times, many of them hours late."""
+    copies = late_posts(spark, sf_dir).withColumn(
         "copy", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
     )
-    polled = _post_columns(V.posts_from(spark, sf_dir, copies))
+    polled = _post_columns(copies)
     path, checkpoint = scratch_path(spark, "rows"), scratch_path(spark, "checkpoint")
-    kept = stream_views.dedupe(polled)
-    stream_sinks.start_rows(kept, path, checkpoint).awaitTermination()
-    return spark.read.schema(kept.schema).parquet(path)
+    stream_sinks.start_distinct(polled, path, checkpoint).awaitTermination()
+    return stream_sinks.read_distinct(spark, path, polled.schema)
 
 
 @query
 def st_topic_runs(spark, sf_dir):
     topic = F.when(F.col("event_id") % 2 == 0, "spark").otherwise("tech")
-    polls = streamed_events(spark, sf_dir).select(
+    polls = late_events(spark, sf_dir).select(
         topic.alias("topic"), F.col("ts").cast("timestamp").alias("requested_at")
     )
-    view = stream_runs.topic_runs(polls)
     path, checkpoint = scratch_path(spark, "rows"), scratch_path(spark, "checkpoint")
-    stream_sinks.start_rows(view, path, checkpoint).awaitTermination()
-    return _named_runs(spark.read.schema(view.schema).parquet(path))
+    stream_sinks.start_requests(polls, path, checkpoint).awaitTermination()
+    return _named_runs(stream_sinks.read_topic_runs(spark, path))
 
 
 @query

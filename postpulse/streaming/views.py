@@ -1,7 +1,7 @@
 """Streaming views.
 
 Counts are taken per micro-batch by the batch operators and summed up on read. No post
-is too late for them, as nothing waits for a watermark. Only ``dedupe`` keeps state.
+is too late for them, as nothing waits for a watermark. Only ``dedupe`` keeps state and has one.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postpulse import constants as K
@@ -66,27 +66,34 @@ def timed(posts: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
     return posts.withWatermark("created_at", delay)
 
 
+def post_name(posts: DataFrame, keys: Sequence[str] = ("tweet_id",)) -> Column:
+    """What copies of a post have in common: ``keys``, or for a post without an id of its own
+    text, author and time."""
+    nameless = F.lit(False)
+    if "text" in posts.columns:
+        nameless = F.col("tweet_id").isNull() | (F.col("tweet_id") == P.post_id(F.col("text")))
+    told_apart_by = [c for c in ("text", "username", "created_at") if c in posts.columns]
+    content = F.sha2(F.to_json(F.struct(*told_apart_by)), 256)
+    named = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return F.when(nameless, content).otherwise(named)
+
+
 def dedupe(
     posts: DataFrame,
     keys: Sequence[str] = ("tweet_id",),
     delay: str = DEFAULT_DELAY,
     splits: int = DEDUPE_SPLITS,
 ) -> DataFrame:
-    """Each post once, however often it was polled within the watermark delay.
+    """Each post once, however often it was polled within the watermark delay. Later posts
+    are dropped; ``sinks.start_distinct`` has no watermark and keeps them.
 
     A post that came without id has none or that of its text; such posts are the same
     only if text, author and time are. Copies of one post are first thinned in
     ``splits`` parts by where they were read, so that a post making up much of the
     stream does not pass through one task.
     """
-    nameless = F.lit(False)
-    if "text" in posts.columns:
-        nameless = F.col("tweet_id").isNull() | (F.col("tweet_id") == P.post_id(F.col("text")))
-    told_apart_by = [c for c in ("text", "username", "created_at") if c in posts.columns]
-    content = F.sha2(F.to_json(F.struct(*told_apart_by)), 256)
-    named = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
     split = F.pmod(F.spark_partition_id(), F.lit(splits))
     thinned = timed(posts, delay).withColumn(
-        "__post", F.when(nameless, content).otherwise(named)).withColumn("__split", split)
+        "__post", post_name(posts, keys)).withColumn("__split", split)
     thinned = thinned.dropDuplicatesWithinWatermark(["__post", "__split"]).drop("__split")
     return thinned.dropDuplicatesWithinWatermark(["__post"]).drop("__post")

@@ -128,16 +128,19 @@ def blocks(nodes: DataFrame, group: str, carried: Sequence[str], done: int, leve
 
 
 def _members(made: DataFrame, group: str, carried: Sequence[str], levels: int) -> DataFrame:
-    """The members of the blocks with the siblings inside the block and above it, ``path``."""
-    opened = made.select(
-        group, "rest", "upper", *[f"level{k}" for k in range(levels)],
-        F.posexplode("members").alias("at", "m"))
-    steps = [F.when(F.col("rest") > k, _siblings(
-        F.col(f"level{k}"), F.floor(F.col("at") / FAN ** k).cast("int"))) for k in range(levels)]
-    inside = F.filter(F.array(*steps).cast(f"array<{STEP}>"), lambda s: s.isNotNull())
-    return opened.select(
-        group, F.col("m.number").alias("number"), F.col("m.node").alias("node"),
-        *[F.col(f"m.{c}").alias(c) for c in carried], F.concat(inside, "upper").alias("path"))
+    """The members of the blocks with the siblings inside the block and above it, ``path``.
+
+    Siblings are cut inside the row of the block, so that no member's row holds the levels.
+    """
+    def placed(member: Column, at: Column) -> Column:
+        steps = [F.when(F.col("rest") > k, _siblings(
+            F.col(f"level{k}"), F.floor(at / FAN ** k).cast("int"))) for k in range(levels)]
+        inside = F.filter(F.array(*steps).cast(f"array<{STEP}>"), lambda s: s.isNotNull())
+        return F.struct(
+            member["number"].alias("number"), member["node"].alias("node"),
+            *[member[c].alias(c) for c in carried], F.concat(inside, F.col("upper")).alias("path"))
+
+    return made.select(group, F.inline(F.transform("members", placed)))
 
 
 @dataclass

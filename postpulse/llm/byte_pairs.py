@@ -32,11 +32,20 @@ PART = 1 << 14
 BATCH_IDS = 1 << 19
 
 # The white space of Unicode; some letters; characters that are no letters
-# in any version of Unicode.
-WHITE = "\t-\r \x85\xa0  -     　"
-LETTERS = ("A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xffа-яぁ-ゖァ-ヺ"
-           "一-龥가-힣")
-NO_LETTERS = "\x00-@\\[-`{-\x7f、。！，？"
+# in any version of Unicode. Each is the inside of a character class, by code points.
+def _characters(*spans: tuple[int, int]) -> str:
+    return "".join(f"\\U{first:08x}-\\U{last:08x}" for first, last in spans)
+
+
+WHITE = _characters(
+    (0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+LETTERS = _characters(
+    (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF), (0x430, 0x44F),
+    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+NO_LETTERS = _characters(
+    (0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F), (0x3001, 0x3002), (0xFF01, 0xFF01),
+    (0xFF0C, 0xFF0C), (0xFF1F, 0xFF1F))
 
 _END_OF_MATCH = re.compile(
     f"(?<=[^{WHITE}])(?=[{WHITE}])|(?<=[{LETTERS}])(?=[{NO_LETTERS}])")

@@ -6,6 +6,7 @@ from postpulse.llm.byte_pairs import op11_byte_pair_round_trip
 from postpulse.llm.licences import op3_licence_automaton
 from postpulse.llm.merkle import op12_merkle_manifest
 from postpulse.llm.ngram_join import op8_ngram_jaccard_join
+from postpulse.llm.oracle import ORACLE
 from postpulse.llm.packing import op4_vector_packing
 from postpulse.llm.passages import op6_compact_windows
 from postpulse.llm.pii import op9_weak_pii
@@ -16,6 +17,8 @@ from postpulse.llm.tiling import op2_greedy_tiling
 from postpulse.llm.tool_calls import op7_tool_call_linking
 from postpulse.llm.warc import op1_warc_normaliser
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES = {
     "op1_warc_normaliser": op1_warc_normaliser,
     "op2_greedy_tiling": op2_greedy_tiling,
@@ -31,5 +34,3 @@ QUERIES = {
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_spelling_variants": op13_spelling_variants,
 }
-
-ORACLE: dict[str, str] = {}

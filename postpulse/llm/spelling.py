@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from postpulse.llm.storage import stored, table
 
 # The letters of words, and the rule of the lost letters.
-LETTERS = "[A-Za-zÀ-ÿ]+"
+LETTERS = r"[A-Za-z\u00C0-\u00FF]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOSSES = 199
 MIN_LENGTH = 6

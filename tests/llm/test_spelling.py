@@ -85,7 +85,7 @@ def test_long_chain(spark):
 
 
 def test_rows_of_every_kind(spark):
-    long = "xyz" * 40_000
+    long = "xyz" * 4_000
     rows = [(None, 5, "x", 1), ("nul", None, "x", 1), ("", 7, "x", 1), ("a", 50, "x", 1),
             ("twice", 2, "x", 1), ("twice", 3, "x", 1), ("twyce", 25, "x", 1),
             (long, 5, "x", 1), (long + "a", 1, "x", 1), ("ties", 1, "x", 1), ("tiea", 9, "x", 1),

@@ -53,6 +53,8 @@ SENTIMENTS = (POSITIVE, NEGATIVE, NEUTRAL)
 SENTIMENT_CUTOFF = 0.1
 NEGATORS = ("not", "never", "no")
 NEGATION_FACTOR = -0.5
+# How many words after a negator it still acts.
+NEGATION_REACH = 1
 SENTIMENT_METRIC_PREFIX = "sentiment_"
 
 # --- Fixed values: post CSV ---------------------------------------------------
@@ -122,6 +124,11 @@ RUN_SECONDS = 3600
 TOP_HASHTAGS, TOP_USERS, TOP_INFLUENCERS = 10, 5, 10
 TOP_ENTITIES, TOP_LOCATIONS, TOP_TOPICS = 20, 5, 10
 CRISIS_SAMPLE, TOP_WORDS = 15, 200
+# Places: what stands between words, and how short a spelling with an error may be.
+PLACE_SEPARATORS = r"[\s,;/|()]+"
+TYPING_ERROR_LENGTH = 5
+# Score from which a pair of words is more than chance.
+COLLOCATION_THRESHOLD = 30.0
 LDA_TOPICS, LDA_WORDS, LDA_SEED = 3, 10, 42
 LDA_WORD_LENGTHS = (2, 15)
 

@@ -1,7 +1,8 @@
 """Streaming views.
 
 Counts are taken per micro-batch by the batch operators and summed up on read. No post
-is too late for them, as nothing waits for a watermark. Only ``dedupe`` keeps state and has one.
+is too late for them, as nothing waits for a watermark. Only ``dedupe`` keeps state, and only
+with a ``delay`` it has a watermark.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from postpulse import constants as K
 from postpulse import functions as P
 from postpulse.operators import counts
 
-DEFAULT_DELAY = "1 hour"
 DEDUPE_SPLITS = 16
+POLLED = "requested_at"
 
 
 @dataclass(frozen=True)
@@ -60,12 +61,6 @@ def crisis_scores(
     return CountView((*by, "hour"), count, counts.with_crisis_score)
 
 
-def timed(posts: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
-    """Posts with a watermark on ``created_at``; posts later than ``delay`` may be dropped."""
-    posts = posts.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return posts.withWatermark("created_at", delay)
-
-
 def post_name(posts: DataFrame, keys: Sequence[str] = ("tweet_id",)) -> Column:
     """What copies of a post have in common: ``keys``, or for a post without an id of its own
     text, author and time."""
@@ -78,14 +73,33 @@ def post_name(posts: DataFrame, keys: Sequence[str] = ("tweet_id",)) -> Column:
     return F.when(nameless, content).otherwise(named)
 
 
+def best_copies(
+    posts: DataFrame, keys: Sequence[str] = ("tweet_id",), newest: str = POLLED
+) -> DataFrame:
+    """One copy of each post: the newest, of equally new ones the largest by its columns in
+    their order, so that it does not depend on which task saw which copy. Missing values are
+    smallest; without the column ``newest`` only the others decide. Columns of maps have no
+    order and are not allowed.
+    """
+    others = [c for c in posts.columns if c != newest]
+    order = [newest, *others] if newest in posts.columns else others
+    best = posts.groupBy(post_name(posts, keys).alias("__post")).agg(
+        F.max(F.struct(*[F.col(f"`{c}`") for c in order])).alias("__best"))
+    return best.select(*[F.col(f"__best.`{c}`") for c in posts.columns])
+
+
 def dedupe(
     posts: DataFrame,
     keys: Sequence[str] = ("tweet_id",),
-    delay: str = DEFAULT_DELAY,
+    delay: str | None = None,
     splits: int = DEDUPE_SPLITS,
 ) -> DataFrame:
-    """Each post once, however often it was polled within the watermark delay. Later posts
-    are dropped; ``sinks.start_distinct`` has no watermark and keeps them.
+    """Each post once, as soon as its first copy comes, however often it was polled.
+
+    The names of all posts are kept as state, 64 bytes each, and none is too late. With a
+    ``delay`` names are kept that long only, by ``created_at``, and posts later than it are
+    dropped. Which of several copies stays depends on what comes first;
+    ``sinks.start_distinct`` chooses by content.
 
     A post that came without id has none or that of its text; such posts are the same
     only if text, author and time are. Copies of one post are first thinned in
@@ -93,7 +107,11 @@ def dedupe(
     stream does not pass through one task.
     """
     split = F.pmod(F.spark_partition_id(), F.lit(splits))
-    thinned = timed(posts, delay).withColumn(
-        "__post", post_name(posts, keys)).withColumn("__split", split)
-    thinned = thinned.dropDuplicatesWithinWatermark(["__post", "__split"]).drop("__split")
+    named = posts.withColumn("__post", post_name(posts, keys)).withColumn("__split", split)
+    if delay is None:
+        return named.dropDuplicates(["__post", "__split"]).drop("__split").dropDuplicates(
+            ["__post"]).drop("__post")
+    timed = named.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark(
+        "created_at", delay)
+    thinned = timed.dropDuplicatesWithinWatermark(["__post", "__split"]).drop("__split")
     return thinned.dropDuplicatesWithinWatermark(["__post"]).drop("__post")

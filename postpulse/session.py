@@ -61,3 +61,10 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def paths_like(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in the file system it names; none if there are none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return sorted(status.getPath().toString() for status in found or ())

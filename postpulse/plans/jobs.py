@@ -28,13 +28,16 @@ def import_csv(
 
     Files of one import may have different headers; without line breaks inside cells,
     ``multiline=False`` splits large files. A run of the topic is continued whatever its age. A file without a text column,
-    or without a row on the topic, is rejected. A repeated import replaces the first one
-    and keeps its time, if that opened a run.
+    or without a row on the topic, is rejected. Rows that do not fit the header of their file
+    are kept below ``rejected``. A repeated import replaces the first one and keeps its time, if
+    that opened a run.
     """
     store.init_tables(spark, root)
     now = now or store.first_time_of(spark, root, batch_id)
     posts = csv_posts.read_posts(spark, path, topic, now, literal, multiline)
     quality.require_rows(posts, f"topic {topic!r}")
+    store.write_rejected(csv_posts.rejected_rows(spark, path, multiline), root, batch_id)
+    store.write_rejected(csv_posts.rejected_rows(spark, path, multiline), root, batch_id)
     store.ingest(root, nlp.score_posts(posts, lexicon), batch_id)
 
 

@@ -1,36 +1,95 @@
-"""Posts from CSV files with varying headers."""
+"""Posts from CSV files with varying headers.
+
+A row with more cells than its file has headers does not fit. It is left out of the posts
+and kept, as it is written, in a table of rejected rows. A row with fewer cells fits; what
+it lacks is null.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from datetime import UTC, datetime
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from postpulse import constants as K
 from postpulse import functions as P
 from postpulse.operators.filters import filter_topic_rows
 from postpulse.operators.quality import require_columns
 
+RAW, FILE = "__raw", "__file"
+TOO_MANY_CELLS = "more cells than headers"
+
+
+def _first_lines(rows: Iterator[Row]) -> Iterator[tuple[str, str]]:
+    """The first line of the file of a task; the rest of the file is not read."""
+    for row in rows:
+        if row["start"] == 0:
+            yield row["file"], row["value"]
+        return
+
+
+def _literal(path: str) -> str:
+    """A path as a pattern that only it matches."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
 
 def files_by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
-    """The files below ``path``, those with the same first line together.
+    """The files below ``path``, those with the same first line together, as patterns.
 
-    First lines are read by tasks, from the first block of each file; what reaches the
-    driver is a line per file, as a listing of the files does.
+    Every file, or part of a large one, is a task of its own, which stops after the first
+    line. What reaches the driver is a line per file, as a listing of the files does.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), "value").where("_metadata.file_block_start = 0")
-    first = lines.groupBy("file").agg(F.first("value").alias("header"))
+    # Settings of this session only: no file shares a task with another one.
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.openCostInBytes", own.conf.get("spark.sql.files.maxPartitionBytes"))
+    lines = own.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"))
     groups: dict[str, list[str]] = {}
-    for row in first.orderBy("file").collect():
-        groups.setdefault(row["header"].removeprefix("\ufeff").rstrip("\r"), []).append(row["file"])
+    for file, header in sorted(lines.rdd.mapPartitions(_first_lines).collect()):
+        groups.setdefault(header.removeprefix("\ufeff").rstrip("\r"), []).append(
+            _literal(unquote(file)))
     return list(groups.values()) or [[path] if isinstance(path, str) else path]
 
 
+def _cells(raw: F.Column) -> F.Column:
+    """The cells of a record up to the last that is not empty."""
+    bare = F.regexp_replace(F.btrim(raw, F.lit("\r\n")), '"[^"]*"', "_")
+    return F.regexp_count(F.regexp_replace(bare, ",+$", ""), F.lit(",")) + 1
+
+
+def _read_alike(spark: SparkSession, files: list[str], multiline: bool) -> DataFrame:
+    """All cells of files with one header as text, and rows that do not fit as ``RAW``."""
+    options = {
+        "header": True, "multiLine": multiline, "quote": '"', "escape": '"',
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    }
+    # The names of one file are those of all; its first line does not need more of the file.
+    names = spark.read.csv(files[0], **{**options, "multiLine": False}).columns
+    schema = StructType([StructField(name, StringType()) for name in [*names, RAW]])
+    # Every cell is looked at, or a row's length would not be known: nothing is pruned, and
+    # the condition below, which always holds, names all columns.
+    frame = spark.read.schema(schema).option("columnPruning", False).csv(
+        files, columnNameOfCorruptRecord=RAW, **options)
+    whole = F.length(F.concat_ws("", *[F.col(f"`{name}`") for name in names])) >= 0
+    surplus = F.col(RAW).isNotNull() & whole & (_cells(F.col(RAW)) > len(names))
+    return frame.select(
+        *[F.when(~F.col(f"`{name}`").isin(*K.NA_TOKENS), F.col(f"`{name}`")).alias(name)
+          for name in names],
+        F.when(surplus, F.col(RAW)).alias(RAW), F.col("_metadata.file_path").alias(FILE))
+
+
+def _fitting(frame: DataFrame) -> DataFrame:
+    return frame.filter(F.col(RAW).isNull()).drop(RAW, FILE)
+
+
 def read_csv(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
-    """All columns as text, missing-value spellings as null.
+    """All columns of the rows that fit as text, missing-value spellings as null.
 
     Files with different headers are read apart and put together by column names; a
     column that a file lacks is null in its rows. With ``multiline`` a cell may hold
@@ -39,20 +98,25 @@ def read_csv(spark: SparkSession, path: str | list[str], multiline: bool = True)
     """
     merged = None
     for files in files_by_header(spark, path):
-        frame = _read_alike(spark, files, multiline)
+        frame = _fitting(_read_alike(spark, files, multiline))
         merged = frame if merged is None else merged.unionByName(frame, allowMissingColumns=True)
     return merged
 
 
-def _read_alike(spark: SparkSession, files: list[str], multiline: bool) -> DataFrame:
-    frame = spark.read.csv(
-        files, header=True, multiLine=multiline, quote='"', escape='"',
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
-    return frame.select([
-        F.when(~F.col(f"`{name}`").isin(*K.NA_TOKENS), F.col(f"`{name}`")).alias(name)
-        for name in frame.columns
-    ])
+def rejected_rows(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
+    """Rows that do not fit: ``file`` (its path), ``reason``, ``raw`` (the row as written)."""
+    url = F.col(FILE)
+    parts = [
+        _read_alike(spark, files, multiline).filter(F.col(RAW).isNotNull()).select(
+            F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))).alias("file"),
+            F.lit(TOO_MANY_CELLS).alias("reason"),
+            F.btrim(F.col(RAW), F.lit("\r\n")).alias("raw"))
+        for files in files_by_header(spark, path)
+    ]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    return merged
 
 
 def _header(name: str, position: int) -> str:
@@ -115,6 +179,19 @@ def typed_posts(frame: DataFrame, topic: str, now: datetime) -> DataFrame:
     )
 
 
+def named_posts(
+    spark: SparkSession, path: str | list[str], now: datetime, multiline: bool = True
+) -> DataFrame:
+    """Rows that fit, by canonical columns: headers are mapped, and missing columns filled, as
+    each kind of file has them."""
+    named = None
+    for files in files_by_header(spark, path):
+        rows = _fitting(_read_alike(spark, files, multiline))
+        filled = fill_defaults(alias_columns(rows), now)
+        named = filled if named is None else named.unionByName(filled, allowMissingColumns=True)
+    return named
+
+
 def read_posts(
     spark: SparkSession,
     path: str | list[str],
@@ -128,10 +205,6 @@ def read_posts(
     ``now`` stands for unreadable times; it is fixed once per import.
     """
     now = now or datetime.now(UTC).replace(tzinfo=None, microsecond=0)
-    named = None
-    for files in files_by_header(spark, path):
-        # Headers are mapped, and missing columns filled, as each kind of file has them.
-        filled = fill_defaults(alias_columns(_read_alike(spark, files, multiline)), now)
-        named = filled if named is None else named.unionByName(filled, allowMissingColumns=True)
-    matching = filter_topic_rows(named, topic, "hashtags", literal)
+    matching = filter_topic_rows(
+        named_posts(spark, path, now, multiline), topic, "hashtags", literal)
     return typed_posts(matching, topic, now)

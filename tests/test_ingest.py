@@ -16,7 +16,7 @@ from postpulse.sources import store as stored
 
 NOW = datetime(2024, 5, 1, 8)
 CSV = '''Text,Timestamp,User,Hashtags,Retweets,Likes,Country,Extra
-"Great event!","2023-01-15 10:00:00",@user1,"['#Python','Tech']",42,128,USA,a
+"Rain, then sun","2022-11-03 06:45:10",@mira,"['#Python','Tech']",17,93,Peru,a
 "tagged #PythonDev","2023-01-15T10:00:00Z",u2,"#PythonDev #py",x,1e3,  usa ,b
 "broken",01/15/2023 10:00,u3,"['python'",-3.9,"1,000",unknown,c
 "only text #python",junk,u4,#other,1d,,None,d
@@ -42,8 +42,8 @@ def by_user(frame):
 def test_csv_posts(spark, csv_file):
     posts = by_user(csv_posts.read_posts(spark, csv_file, "Python", NOW))
     # The topic only in the text, or a missing tag cell, drops the row.
-    assert sorted(posts) == ["@user1", "u2", "u3", "u6", "u7", "unknown"]
-    assert posts["@user1"]["tags"] == ["Python", "Tech"]
+    assert sorted(posts) == ["@mira", "u2", "u3", "u6", "u7", "unknown"]
+    assert posts["@mira"]["tags"] == ["Python", "Tech"]
     assert posts["u2"]["tags"] == ["PythonDev", "py", "PythonDev"]
     assert posts["u3"]["tags"] == []
     assert [posts["u2"][n] for n in ("retweet_count", "like_count")] == [0, 1000]
@@ -76,6 +76,76 @@ def test_csv_files_with_other_headers_are_read_by_name(spark, tmp_path):
     assert {r["User"] for r in raw.collect()} == {"ann", "bob", None}
 
 
+ODD_NAMES = ["a b.csv", "a{1}.csv", "[x]y.csv", "100%25.csv", "a+b&c.csv", "back\\slash.csv", "é ü.csv"]
+
+
+@pytest.mark.parametrize("multiline", (True, False))
+def test_csv_files_of_any_name(spark, tmp_path, multiline):
+    for i, name in enumerate(ODD_NAMES):
+        (tmp_path / name).write_text(f"Text,User\nhello,u{i}\n" if i % 2 else f"User,Tweet\nu{i},hello\n")
+    # These would be read as well if a name were taken for a pattern.
+    (tmp_path / "a1.csv").write_text("Text,User\nother,o1\n")
+    (tmp_path / "xy.csv").write_text("Text,User\nother,o2\n")
+    found = csv_posts.read_csv(spark, str(tmp_path), multiline)
+    got = sorted(row["User"] for row in found.collect())
+    assert got == sorted([*(f"u{i}" for i in range(len(ODD_NAMES))), "o1", "o2"])
+    groups = csv_posts.files_by_header(spark, str(tmp_path))
+    assert sorted(map(len, groups)) == [4, 5]
+
+
+LONG = '''Text,User
+hello,bob,EXTRA,MORE
+fits,ann
+"a, b",carl
+short
+"quoted ""x"", y",dan,EXTRA
+empty cells,eve,,
+,,,last
+'''
+
+
+@pytest.mark.parametrize("multiline", (True, False))
+def test_rows_with_too_many_cells_are_rejected(spark, tmp_path, multiline):
+    (tmp_path / "a b{1}.csv").write_text(LONG)
+    (tmp_path / "other.csv").write_text("Text\nfine\n")
+    rows = csv_posts.read_csv(spark, str(tmp_path), multiline).collect()
+    assert sorted((r["Text"], r["User"]) for r in rows if r["Text"]) == sorted([
+        ("fits", "ann"), ("a, b", "carl"), ("short", None), ("empty cells", "eve"), ("fine", None)],
+        key=repr)
+    rejected = csv_posts.rejected_rows(spark, str(tmp_path), multiline).collect()
+    assert sorted(r["raw"] for r in rejected) == sorted([
+        "hello,bob,EXTRA,MORE", '"quoted ""x"", y",dan,EXTRA', ",,,last"])
+    assert {r["reason"] for r in rejected} == {"more cells than headers"}
+    assert {r["file"].split("/")[-1] for r in rejected} == {"a b{1}.csv"}
+
+
+def test_only_the_first_line_of_a_file_is_taken(spark, tmp_path):
+    def rows(start):
+        for i in range(5):
+            pulled.append(i)
+            yield {"start": start, "file": "f", "value": f"line {i}"}
+
+    for start, found in ((0, [("f", "line 0")]), (1 << 20, [])):
+        pulled = []
+        assert list(csv_posts._first_lines(rows(start))) == found and pulled == [0]
+    for i in range(5):
+        (tmp_path / f"{i}.csv").write_text("Text,User\nword,someone\n" * 10)
+    assert [len(g) for g in csv_posts.files_by_header(spark, str(tmp_path))] == [5]
+    (tmp_path / "empty.csv").write_text("")
+    assert csv_posts.read_csv(spark, str(tmp_path)).count() == 95
+
+
+def test_an_import_keeps_what_does_not_fit(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("Text,Hashtags\nhello,#x\nlong,#x,EXTRA\n")
+    root = str(tmp_path / "store")
+    for _ in range(2):
+        jobs.import_csv(spark, str(path), "x", root, "b 1", now=NOW)
+        assert stored.read_table(spark, root, "tweets").count() == 1
+        kept = spark.read.parquet(f"{root}/rejected")
+        assert [(r["raw"], r["batch_id"]) for r in kept.collect()] == [("long,#x,EXTRA", "b 1")]
+
+
 def test_csv_without_text_or_topic_is_rejected(spark, tmp_path, csv_file):
     path = tmp_path / "b.csv"
     path.write_text("Hashtags\n#python\n")

@@ -16,9 +16,10 @@ from pyspark.sql.types import StructType
 from postpulse import constants as K
 from postpulse import functions as P
 from postpulse.operators import counts, filters, joins, nlp, quality, runs, sets
+from postpulse.operators.ranking import top_k
 from postpulse.plans import driver_views as V
 from postpulse.session import scratch_path
-from postpulse.sinks import export, store
+from postpulse.sinks import compaction, export, store
 from postpulse.sources import api, csv_posts
 from postpulse.sources import store as stored
 from postpulse.streaming import sinks as stream_sinks
@@ -118,9 +119,25 @@ def tag_cell(i: Column, kind: Column) -> Column:
 
 
 def landed_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Files with three sets of headers in folders of odd names, and one with rows too long."""
     path = scratch_path(spark, "csv")
-    export.write_csv(posts(spark, sf_dir).select(*csv_cells()), path)
-    return path
+    rows = posts(spark, sf_dir).select("event_id", "retweet_count", *csv_cells())
+    kind = F.col("event_id") % 3
+    export.write_csv(rows.filter(kind == 0).drop("event_id", "retweet_count"),
+                     f"{path}/posts of {{1}} [a b]")
+    export.write_csv(rows.filter(kind == 1).select(
+        F.col("Tweet-Text").alias("Text"), F.col("Timestamp").alias("DateTime"),
+        F.col("Author").alias("User"), "retweet_count", F.col("Country").alias("Place"), "Hashtags",
+        "event_type"), f"{path}/100% other+more")
+    export.write_csv(rows.filter(kind == 2).select(
+        F.col("Tweet-Text").alias("Tweet"), "event_type"), f"{path}/texts")
+    key = F.col("n_nationkey").cast("string")
+    line = F.concat(F.lit('"Hello, '), "n_name", F.lit('",u'), key, F.when(
+        F.col("n_nationkey") % 3 == 0, F.concat(F.lit(",EXTRA,"), key)).otherwise(""))
+    lines = V.table(spark, sf_dir, "nation").agg(F.concat(
+        F.lit("Text,User\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("file"))
+    lines.write.text(f"{path}/rows too long")
+    return f"{path}/*"
 
 
 def landed_responses(spark: SparkSession, sf_dir: str) -> str:
@@ -177,12 +194,26 @@ def entity_dict(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ENTITIES, "entity string, label string")
 
 
+# Words that only change the next one, entries of several words, and entries that do not count.
+MORE_POLARITIES = (
+    ("view", None, 1.5), ("sparkdev", 0.2, None), ("tech", -0.4, 1.0), ("good bad", 0.3, None),
+    ("terrible error spark", -0.9, None), ("click", None, 0.5), ("not good bad view", 0.6, 1.0),
+    ("not good bad view", 0.5, 9.0), (None, 0.5, None), ("the", None, None), ("great", -1.0, 2.0),
+)
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
     """The lexicon as a table, with a null word, a null polarity and a lower duplicate."""
     flawed = [*K.LEXICON.items(), (None, 0.5), ("the", None), ("great", -1.0)]
     return spark.createDataFrame(flawed, "word string, polarity double")
 
 
+def fuller_lexicon(spark: SparkSession) -> DataFrame:
+    """The lexicon with ``MORE_POLARITIES``."""
+    more = [*((word, value, None) for word, value in K.LEXICON.items()), *MORE_POLARITIES]
+    return spark.createDataFrame(more, "word string, polarity double, intensity double")
+
+
 def stopwords(spark: SparkSession) -> DataFrame:
     """The stop words as a table, with a null and a duplicate."""
     return spark.createDataFrame([(word,) for word in (*K.STOPWORDS, None, "the")], "word string")
@@ -195,8 +226,10 @@ def joined(tags: Column) -> Column:
 # --- sources ------------------------------------------------------------------
 @query
 def src_csv_posts(spark, sf_dir):
-    frame = csv_posts.read_csv(spark, landed_csv(spark, sf_dir))
-    return frame.withColumnRenamed("Tweet-Text", "Tweet_Text")
+    path = landed_csv(spark, sf_dir)
+    frame = csv_posts.read_csv(spark, path).withColumnRenamed("Tweet-Text", "Tweet_Text")
+    rejected = csv_posts.rejected_rows(spark, path).select("reason", F.col("raw").alias("rejected"))
+    return frame.unionByName(rejected, allowMissingColumns=True)
 
 
 @query
@@ -206,9 +239,7 @@ def src_csv_alias(spark, sf_dir):
 
 @query
 def src_csv_defaults(spark, sf_dir):
-    path = scratch_path(spark, "csv")
-    export.write_csv(posts(spark, sf_dir).select("text"), path)
-    frame = csv_posts.fill_defaults(csv_posts.read_csv(spark, path), IMPORT_TIME)
+    frame = csv_posts.named_posts(spark, landed_csv(spark, sf_dir), IMPORT_TIME)
     return csv_posts.typed_posts(frame, "spark", IMPORT_TIME).drop("tweet_id").withColumn(
         "tags", joined(F.col("tags"))
     )
@@ -236,7 +267,21 @@ def src_api_stream(spark, sf_dir):
 
 @query
 def src_store_tables(spark, sf_dir):
-    latest = stored.read_latest(spark, filled_store(spark, sf_dir))
+    """The latest runs in a store of four batches, each over the whole time, folded in three
+    turns; the last batch is written again after it was folded."""
+    root = scratch_path(spark, "store")
+    store.init_tables(spark, root)
+    everything = requested(scored(spark, sf_dir)).withColumn("part", F.col("event_id") % 4)
+    parts = written(everything, "scored")
+    for part in range(4):
+        store.ingest(root, parts.filter(F.col("part") == part), f"part {part}")
+        if part == 2:
+            compaction.compact(spark, root)
+    compaction.compact(spark, root)
+    store.ingest(root, parts.filter("part = 3"), "part 3")
+    compaction.compact(spark, root)
+    compaction.clean_up(spark, root)
+    latest = stored.read_latest(spark, root)
     return latest["tweets"].select(
         "topic", "run_start", "tweet_id", "cleaned_text", "sentiment", "created_at",
         "retweet_count", "username", "location", "hour",
@@ -375,9 +420,20 @@ def jn_latest_run(spark, sf_dir):
     return newest.select("topic", "run_start", "tweet_id", "username", "retweet_count")
 
 
+def spelled_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts whose locations name a town as well, or have a typing error."""
+    i, place = F.col("event_id"), F.col("location")
+    return posts(spark, sf_dir).withColumn("location", (
+        F.when(i % 7 == 0, F.concat(F.lit("Old Town, "), place))
+        .when(i % 7 == 1, F.concat(F.lit("Port "), place))
+        .when(i % 7 == 2, F.replace(F.lower(place), F.lit("nation"), F.lit("nattion")))
+        .when(i % 7 == 3, F.concat(F.lit("Harbour/"), place, F.lit("x")))
+        .otherwise(place)))
+
+
 @query
 def jn_geocode(spark, sf_dir):
-    counted = counts.location_counts(posts(spark, sf_dir))
+    counted = counts.location_counts(spelled_posts(spark, sf_dir))
     return joins.geocode(counted, V.gazetteer(spark, sf_dir))
 
 
@@ -469,6 +525,11 @@ def agg_word_bigrams(spark, sf_dir):
     return nlp.word_bigrams(cleaned(spark, sf_dir))
 
 
+@query
+def agg_word_cloud(spark, sf_dir):
+    return nlp.word_cloud(cleaned(spark, sf_dir), stopwords(spark))
+
+
 # --- first row per group ----------------------------------------------------------
 @query
 def win_latest_run(spark, sf_dir):
@@ -664,15 +725,17 @@ def fn_fill_str(spark, sf_dir):
 # --- text analytics -------------------------------------------------------------------
 @query
 def txt_polarity(spark, sf_dir):
-    frame = nlp.with_polarity(cleaned(spark, sf_dir), lexicon(spark))
+    frame = nlp.with_polarity(cleaned(spark, sf_dir), fuller_lexicon(spark))
     return frame.select("tweet_id", "polarity")
 
 
 @query
-def txt_polarity_joined(spark, sf_dir):
-    """The same with the lexicon as part of the expression."""
-    frame = nlp.with_polarity(cleaned(spark, sf_dir), K.LEXICON)
-    return frame.select("tweet_id", "polarity")
+def txt_polarity_words(spark, sf_dir):
+    """A table of single words and the same words as part of the program agree on all posts."""
+    frame = nlp.with_polarity(cleaned(spark, sf_dir), lexicon(spark)).withColumnRenamed(
+        "polarity", "by_table")
+    both = nlp.with_polarity(frame, K.LEXICON)
+    return both.select("tweet_id", "polarity", (F.col("polarity") == F.col("by_table")).alias("agree"))
 
 
 @query
@@ -680,15 +743,6 @@ def txt_entities(spark, sf_dir):
     return nlp.find_entities(cleaned(spark, sf_dir), entity_dict(spark))
 
 
-@query
-def txt_entities_joined(spark, sf_dir):
-    """The same with single words of the dictionary and its longer entries apart."""
-    words = F.size(F.split(F.regexp_replace("entity", "-", " "), " "))
-    known = entity_dict(spark).withColumn("words", words)
-    parts = [known.filter("words > 1"), known.filter("words = 1 OR entity IS NULL")]
-    return nlp.find_entities(cleaned(spark, sf_dir), parts[0].union(parts[1]))
-
-
 @query
 def txt_topics_lda(spark, sf_dir):
     return nlp.lda_topics(cleaned(spark, sf_dir))
@@ -701,18 +755,24 @@ def txt_topics_lda_facts(spark, sf_dir):
     return nlp.topic_facts(nlp.lda_topics(frame), frame)
 
 
+@query
+def txt_topic_coherence(spark, sf_dir):
+    """Coherence of the ten words that are in most posts of each topic."""
+    frame = cleaned(spark, sf_dir)
+    words = frame.select("topic", F.explode(F.array_distinct(
+        nlp.lda_words(F.col("cleaned_text")))).alias("word"))
+    counted = words.groupBy("topic", "word").agg(F.count("*").alias("n"))
+    best = written(top_k(counted, ["topic"], [F.desc("n"), F.asc("word")], 10), "words")
+    return nlp.topic_coherence(best, frame, "topic")
+
+
 @query
 def txt_geo_resolve(spark, sf_dir):
-    located = sets.distinct_locations(posts(spark, sf_dir))
+    located = sets.distinct_locations(spelled_posts(spark, sf_dir))
     return joins.resolve_locations(located, V.gazetteer(spark, sf_dir))
 
 
 # --- streams ----------------------------------------------------------------------------
-def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = V.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-
-
 def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of events in several files and micro-batches, each over the whole time, so
     that many are hours late."""
@@ -726,10 +786,6 @@ def late_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.posts_from(spark, sf_dir, late_events(spark, sf_dir))
 
 
-def streamed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.posts_from(spark, sf_dir, streamed_events(spark, sf_dir))
-
-
 def _counted(stream: DataFrame, view: stream_views.CountView) -> DataFrame:
     """Run a view over all input and read it, from compacted sums."""
     spark = stream.sparkSession
@@ -762,13 +818,17 @@ def st_crisis_score(spark, sf_dir):
 
 @query
 def st_dedupe_posts(spark, sf_dir):
-    """Each post arrives three times, many of them hours late."""
-    copies = late_posts(spark, sf_dir).withColumn(
-        "copy", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    )
-    polled = _post_columns(copies)
+    """Each post is polled four times, with other counts, many of them hours late; the last
+    two polls are of one time."""
+    copies = late_posts(spark, sf_dir).withColumn("copy", F.explode(F.array(*map(F.lit, range(4)))))
+    later = F.least("copy", F.lit(2))
+    polled = copies.select(
+        "topic", "tweet_id", "username", "created_at",
+        (F.col("retweet_count") + F.col("copy")).alias("retweet_count"),
+        (F.col("created_at") + F.make_dt_interval(hours=later)).alias("requested_at"))
     path, checkpoint = scratch_path(spark, "rows"), scratch_path(spark, "checkpoint")
     stream_sinks.start_distinct(polled, path, checkpoint).awaitTermination()
+    stream_sinks.compact_distinct(spark, path, polled.schema)
     return stream_sinks.read_distinct(spark, path, polled.schema)
 
 
@@ -780,14 +840,21 @@ def st_topic_runs(spark, sf_dir):
     )
     path, checkpoint = scratch_path(spark, "rows"), scratch_path(spark, "checkpoint")
     stream_sinks.start_requests(polls, path, checkpoint).awaitTermination()
+    stream_sinks.compact_topic_runs(spark, path)
     return _named_runs(stream_sinks.read_topic_runs(spark, path))
 
 
 @query
 def st_sink_append(spark, sf_dir):
+    """Several micro-batches, each over the whole time: runs follow what came before."""
     root, checkpoint = scratch_path(spark, "store"), scratch_path(spark, "checkpoint")
-    polled = requested(streamed_posts(spark, sf_dir))
-    stream_sinks.start_ingest(polled, root, checkpoint).awaitTermination()
+    events, path = V.table(spark, sf_dir, "events"), scratch_path(spark, "events")
+    for part in range(4):
+        events.filter(F.col("event_id") % 4 == part).write.parquet(f"{path}/{part}")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{path}/*")
+        polled = requested(V.posts_from(spark, sf_dir, arriving))
+        stream_sinks.start_ingest(polled, root, checkpoint).awaitTermination()
+    compaction.compact(spark, root)
     run_of = stored.read_table(spark, root, "searches")
     tweets = stored.read_table(spark, root, "tweets")
     return (

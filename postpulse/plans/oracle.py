@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from postpulse import constants as K
-from postpulse.plans.catalog import ENTITIES, IMPORT_TIME, SIZED_VIEWS
+from postpulse.plans.catalog import ENTITIES, IMPORT_TIME, MORE_POLARITIES, SIZED_VIEWS
 
 
 def _text(value: str) -> str:
@@ -92,6 +92,63 @@ polar AS (SELECT c.*, round(coalesce(mean, 0), 6) AS polarity
 scored AS (SELECT *, CASE WHEN polarity > 0.1 THEN 'Positive' WHEN polarity < -0.1
  THEN 'Negative' ELSE 'Neutral' END AS sentiment FROM polar)"""
 
+def _entries() -> str:
+    """The fuller lexicon as the best entry of each phrase: polarity first, then intensity."""
+    best: dict[str, tuple] = {}
+    for word, polarity, intensity in [*((w, p, None) for w, p in K.LEXICON.items()), *MORE_POLARITIES]:
+        if word is None or (polarity is None and intensity is None):
+            continue
+        rank = tuple(-99 if value is None else value for value in (polarity, intensity))
+        if word not in best or rank > best[word][0]:
+            best[word] = rank, (word, polarity, 1.0 if intensity is None else intensity)
+    return _values([row for _, row in best.values()], "phrase, polarity, intensity")
+
+
+def _state(spot: str, width: str, polarity: str, intensity: str, negates: str) -> str:
+    """A hit together with the state of a fold before anything was found."""
+    return (f"struct_pack(spot := CAST({spot} AS BIGINT), width := CAST({width} AS BIGINT), "
+            f"polarity := {polarity}, intensity := {intensity}, negates := {negates}, "
+            "total := 0.0::DOUBLE, n := 0::BIGINT, negated := -1::BIGINT, boost := 1.0::DOUBLE, "
+            "boosted := -1::BIGINT, free := 0::BIGINT)")
+
+
+# The hits of a post are folded in the order of its words.
+FOLDED_POLARITY = f"""WITH {CLEANED}, entries AS {_entries()},
+words AS (SELECT event_id, regexp_extract_all(lower(cleaned_text), {WORD}) AS w FROM cleaned),
+places AS (SELECT * FROM (SELECT event_id, w, unnest(range(len(w))) AS spot FROM words)
+ WHERE w[spot + 1] IN (SELECT split_part(phrase, ' ', 1) FROM entries
+  UNION ALL SELECT unnest(['not', 'never', 'no']))),
+known AS (SELECT event_id, spot, n AS width, polarity, intensity, false AS negates FROM
+ (SELECT event_id, w, spot, unnest(range(1, 5)) AS n FROM places)
+ JOIN entries ON phrase = array_to_string(w[spot + 1:spot + n], ' ') WHERE spot + n <= len(w)
+ UNION ALL SELECT event_id, spot, 1, NULL, 1.0, true FROM places
+ WHERE w[spot + 1] IN ('not', 'never', 'no')),
+hits AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY event_id, spot
+ ORDER BY width DESC, negates DESC) = 1),
+listed_hits AS (SELECT event_id, list({_state('spot', 'width', 'CAST(polarity AS DOUBLE)',
+ 'CAST(intensity AS DOUBLE)', 'negates')} ORDER BY spot) AS found FROM hits GROUP BY event_id),
+ends AS (SELECT event_id, list_reduce(list_prepend({_state('0', '0', 'NULL::DOUBLE', '1.0::DOUBLE',
+ 'false')}, found), lambda s, h: struct_pack(
+ spot := h.spot, width := h.width, polarity := h.polarity, intensity := h.intensity,
+ negates := h.negates,
+ total := CASE WHEN h.spot < s.free OR h.negates OR h.polarity IS NULL THEN s.total
+  ELSE s.total + greatest(-1.0::DOUBLE, least(1.0::DOUBLE, h.polarity
+  * CASE WHEN s.boosted = h.spot THEN s.boost ELSE 1.0::DOUBLE END
+  * CASE WHEN h.spot <= s.negated THEN {K.NEGATION_FACTOR}::DOUBLE ELSE 1.0::DOUBLE END)) END,
+ n := CASE WHEN h.spot < s.free OR h.negates OR h.polarity IS NULL THEN s.n ELSE s.n + 1 END,
+ negated := CASE WHEN h.spot < s.free THEN s.negated WHEN h.negates THEN h.spot + {K.NEGATION_REACH}
+  WHEN h.polarity IS NOT NULL THEN -1::BIGINT
+  WHEN h.spot <= s.negated THEN s.negated + h.width ELSE s.negated END,
+ boost := CASE WHEN h.spot < s.free THEN s.boost
+  WHEN h.negates OR h.polarity IS NOT NULL THEN 1.0::DOUBLE
+  ELSE CASE WHEN s.boosted = h.spot THEN s.boost ELSE 1.0::DOUBLE END * h.intensity END,
+ boosted := CASE WHEN h.spot < s.free THEN s.boosted
+  WHEN h.negates OR h.polarity IS NOT NULL THEN -1::BIGINT ELSE h.spot + h.width END,
+ free := CASE WHEN h.spot < s.free THEN s.free ELSE h.spot + h.width END)) AS last
+ FROM listed_hits)
+SELECT tweet_id, round(CASE WHEN last.n > 0 THEN last.total / last.n ELSE 0 END, 6) AS polarity
+FROM cleaned LEFT JOIN ends USING (event_id)"""
+
 REQUESTS = """requests AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'spark' ELSE 'tech' END
  AS topic_key, date_trunc('second', ts) AS second, true AS from_api FROM events)"""
 MIXED = """requests AS (SELECT lower(CASE WHEN event_type = 'click' THEN 'Spark'
@@ -119,6 +176,36 @@ RUNS = runs(REQUESTS)
 PLACED = """placed AS (SELECT p.*, r.run_start FROM {posts} p JOIN runs r
  ON r.topic_key = p.topic AND r.requested_at = date_trunc('second', p.created_at))"""
 
+
+
+def _dealt_runs(parts: int = 4) -> str:
+    """Runs of events that come in parts: a request older than the run that is open when its
+    part comes counts into that run."""
+    steps = []
+    for k in range(parts):
+        asked = f"SELECT topic_key, second FROM moved{k}"
+        since, before = "second", ""
+        if k:
+            asked += f" UNION SELECT topic_key, run_start FROM open{k - 1}"
+            since, before = "greatest(second, run_start)", f"LEFT JOIN open{k - 1} USING (topic_key)"
+        steps.append(f"""moved{k} AS (SELECT event_id, topic_key, {since} AS second FROM (
+ SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'spark' ELSE 'tech' END AS topic_key,
+ date_trunc('second', ts) AS second FROM events WHERE event_id % {parts} = {k}) {before}),
+asked{k} AS (SELECT DISTINCT * FROM ({asked})),
+steps{k} AS (SELECT topic_key, second, min(second) OVER (PARTITION BY topic_key ORDER BY second
+ RANGE BETWEEN INTERVAL 1 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM asked{k}),
+starts{k} AS (SELECT topic_key, min(second) AS run_start FROM asked{k} GROUP BY topic_key
+ UNION ALL SELECT s.topic_key, n.following FROM starts{k} s JOIN steps{k} n
+ ON n.topic_key = s.topic_key AND n.second = s.run_start WHERE n.following IS NOT NULL),
+open{k} AS (SELECT topic_key, max(run_start) AS run_start FROM starts{k} GROUP BY topic_key),
+runs{k} AS (SELECT m.event_id, s.run_start FROM moved{k} m ASOF JOIN starts{k} s
+ ON m.topic_key = s.topic_key AND m.second >= s.run_start)""")
+    every = " UNION ALL ".join(f"SELECT * FROM runs{k}" for k in range(parts))
+    return ", ".join([*steps, f"dealt AS ({every})"])
+
+
+DEALT = f"{_dealt_runs()}, placed AS (SELECT p.*, run_start FROM scored p JOIN dealt USING (event_id))"
+
 LOCATED = f"""{POSTS}, counted AS (SELECT topic, location, count(*) AS count FROM
  (SELECT topic, {norm('location')} AS location FROM posts) WHERE location IS NOT NULL
  GROUP BY ALL),
@@ -126,12 +213,38 @@ gazetteer AS (SELECT unnest([upper(n_name), 'NATION ' || n_nationkey]) AS locati
  n_name AS country, CAST((n_nationkey * 7) % 160 - 80 AS DOUBLE) AS lat,
  CAST((n_nationkey * 13) % 340 - 170 AS DOUBLE) AS lon FROM nation)"""
 
-CSV = f"""{POSTS}, cells AS (SELECT text AS "Tweet_Text",
- strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS "Timestamp", username AS "Author",
- CAST(retweet_count AS VARCHAR) AS "Retweets",
- CASE WHEN event_id % 2 = 0 THEN CAST(like_count AS VARCHAR) END AS "Likes",
- CASE WHEN event_id % 2 = 1 THEN CAST(like_count AS VARCHAR) ELSE '0' END AS "Favorites",
- nullif(location, '') AS "Country", {TAG_CELL} AS "Hashtags", event_type FROM posts)"""
+# Free-text locations: the longest known ending, else spellings one edit away, by brute force.
+SPELLED = """CASE event_id % 7 WHEN 0 THEN 'Old Town, ' || location WHEN 1 THEN 'Port ' || location
+ WHEN 2 THEN replace(lower(location), 'nation', 'nattion')
+ WHEN 3 THEN 'Harbour/' || location || 'x' ELSE location END"""
+PLACES = f"""{POSTS}, counted AS (SELECT topic, location, count(*) AS count FROM
+ (SELECT topic, {norm(f'({SPELLED})')} AS location FROM posts) WHERE location IS NOT NULL
+ GROUP BY ALL),
+gazetteer AS (SELECT unnest([upper(n_name), 'NATION ' || n_nationkey]) AS alias,
+ n_name AS country, CAST((n_nationkey * 7) % 160 - 80 AS DOUBLE) AS lat,
+ CAST((n_nationkey * 13) % 340 - 170 AS DOUBLE) AS lon FROM nation),
+found AS (SELECT DISTINCT location, list_filter(
+ string_split_regex(location, {_text(K.PLACE_SEPARATORS)}), lambda w: w <> '') AS w FROM counted),
+endings AS (SELECT location, n, array_to_string(w[len(w) - n + 1:], ' ') AS ending
+ FROM found, range(1, 3) AS r(n) WHERE n <= len(w)),
+named AS (SELECT location, arg_max((country, lat, lon), n) AS place FROM endings
+ JOIN gazetteer ON ending = alias GROUP BY location),
+near AS (SELECT location, arg_min((country, lat, lon), (-n, alias, country)) AS place FROM endings
+ JOIN gazetteer ON levenshtein(ending, alias) = 1 WHERE length(ending) >= {K.TYPING_ERROR_LENGTH}
+ AND length(alias) >= {K.TYPING_ERROR_LENGTH}
+ AND location NOT IN (SELECT location FROM named) GROUP BY location),
+places AS (SELECT location, place, 'name' AS resolved_by FROM named
+ UNION ALL SELECT location, place, 'typing error' FROM near),
+resolved AS (SELECT location, place[1] AS country, place[2] AS lat, place[3] AS lon, resolved_by
+ FROM found LEFT JOIN places USING (location))"""
+
+CSV = f"""{POSTS}, cells AS (SELECT event_id, event_type, text, created_at, username,
+ CAST(retweet_count AS VARCHAR) AS retweets, CAST(like_count AS VARCHAR) AS likes,
+ nullif(location, '') AS location, {TAG_CELL} AS tags, {TAG_CELL_TAGS} AS tag_list,
+ strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS time FROM posts),
+lines AS (SELECT n_nationkey % 3 = 0 AS too_long, 'Hello, ' || n_name AS text,
+ 'u' || n_nationkey AS username, '"Hello, ' || n_name || '",u' || n_nationkey || ',EXTRA,' ||
+ n_nationkey AS raw FROM nation)"""
 
 API_COLUMNS = """topic, created_at AS requested_at, CASE WHEN event_id % 23 <> 0 THEN tweet_id
  ELSE left(sha256(text), 32) END AS tweet_id, text, created_at, retweet_count,
@@ -148,6 +261,31 @@ listed AS (SELECT topic, list_filter(list_transform(regexp_extract_all(lower(cle
  {WORD}), lambda w: CASE WHEN ends_with(w, '''s') THEN left(w, length(w) - 2) ELSE w END),
  lambda w: NOT regexp_full_match(w, '[0-9]*')) AS w FROM cleaned)"""
 
+def _log_likelihood(hits: str, tries: str, share: str) -> str:
+    return (f"({hits} * ln(greatest({share}, 1e-10))"
+            f" + ({tries} - {hits}) * ln(greatest(1 - {share}, 1e-10)))")
+
+
+RATIO = " ".join((
+    "2 * (", _log_likelihood("count", "na", "(count / na)"), "+",
+    _log_likelihood("(nb - count)", "(total - na)", "((nb - count) / (total - na))"), "-",
+    _log_likelihood("count", "na", "(nb / total)"), "-",
+    _log_likelihood("(nb - count)", "(total - na)", "(nb / total)"), ")"))
+COLLOCATIONS = f"""{WORDS},
+stopped AS (SELECT topic, unnest(w) AS word FROM listed),
+singles AS (SELECT topic, word, count(*) AS n FROM stopped
+ WHERE word NOT IN (SELECT word FROM stopwords) GROUP BY ALL),
+totals AS (SELECT topic, CAST(sum(n) AS DOUBLE) AS total FROM singles GROUP BY topic),
+together AS (SELECT topic, p[1] AS a, p[2] AS b, count(*) AS count FROM
+ (SELECT topic, unnest(list_zip(w[:-2], w[2:])) AS p FROM listed WHERE len(w) > 1)
+ WHERE p[1] NOT IN (SELECT word FROM stopwords) AND p[2] NOT IN (SELECT word FROM stopwords)
+ GROUP BY ALL),
+measured AS (SELECT t.*, x.n AS na, y.n AS nb, total FROM together t
+ JOIN singles x ON x.topic = t.topic AND x.word = a
+ JOIN singles y ON y.topic = t.topic AND y.word = b JOIN totals ON totals.topic = t.topic),
+collocations AS (SELECT topic, a, b, count, {RATIO} AS score FROM measured
+ WHERE total > na AND total > nb AND {RATIO} > {K.COLLOCATION_THRESHOLD})"""
+
 NAME = _text(K.NAME_PATTERN)
 ENTITIES_FOUND = f"""{CLEANED}, listed_entities AS {ENTITY_DICT},
 entity_dict AS (SELECT DISTINCT entity, label, array_to_string(e, ' ') AS phrase, e[1] AS head,
@@ -171,8 +309,8 @@ def ranked(source: str, order: str, k: int, columns: str = "*", by: str = "topic
     )
 
 
-def weighted(source: str, name: str) -> str:
-    best = ranked(source, f"count DESC, {name}", K.TOP_WORDS, f"topic, {name}, count")
+def weighted(source: str, name: str, more: str = "") -> str:
+    best = ranked(source, f"count DESC, {name}", K.TOP_WORDS, f"topic, {name}, count{more}")
     return (
         f"SELECT *, round(count / max(count) OVER (PARTITION BY topic), 6) AS weight FROM ({best})"
     )
@@ -207,15 +345,38 @@ NEWEST = "(SELECT topic_key, max(run_start) AS run_start FROM runs GROUP BY topi
 
 ORACLE: dict[str, str] = {
     # sources
-    "src_csv_posts": f"WITH {CSV} SELECT * FROM cells",
-    "src_csv_alias": f"""WITH {CSV} SELECT "Tweet_Text" AS text, "Timestamp" AS created_at,
- "Author" AS username, "Retweets" AS retweet_count, coalesce("Likes", "Favorites") AS like_count,
- "Country" AS location, "Hashtags" AS hashtags, event_type FROM cells""",
-    "src_csv_defaults": f"""WITH {POSTS} SELECT 'spark' AS topic, {NOW} AS requested_at, text,
- {NOW} AS created_at, 0::BIGINT AS retweet_count, 0::BIGINT AS like_count,
- 'unknown' AS username, 0::BIGINT AS user_followers, CAST(NULL AS VARCHAR) AS location,
- 'twitter' AS platform, 'csv' AS source, array_to_string({tags('text')}, ',') AS tags
- FROM posts""",
+    "src_csv_posts": f"""WITH {CSV} SELECT text AS "Tweet_Text", time AS "Timestamp",
+ username AS "Author", retweets AS "Retweets", CASE WHEN event_id % 2 = 0 THEN likes END AS "Likes",
+ CASE WHEN event_id % 2 = 1 THEN likes ELSE '0' END AS "Favorites", location AS "Country",
+ tags AS "Hashtags", event_type, NULL AS "Text", NULL AS "DateTime", NULL AS "User",
+ NULL AS retweet_count, NULL AS "Place", NULL AS "Tweet", NULL AS reason, NULL AS rejected
+ FROM cells WHERE event_id % 3 = 0
+ UNION ALL BY NAME SELECT text AS "Text", time AS "DateTime", username AS "User",
+ retweets AS retweet_count, location AS "Place", tags AS "Hashtags", event_type FROM cells
+ WHERE event_id % 3 = 1
+ UNION ALL BY NAME SELECT text AS "Tweet", event_type FROM cells WHERE event_id % 3 = 2
+ UNION ALL BY NAME SELECT text AS "Text", username AS "User" FROM lines WHERE NOT too_long
+ UNION ALL BY NAME SELECT 'more cells than headers' AS reason, raw AS rejected FROM lines
+ WHERE too_long""",
+    "src_csv_alias": f"""WITH {CSV} SELECT text, time AS created_at, username,
+ retweets AS retweet_count, likes AS like_count,
+ location, tags AS hashtags, event_type FROM cells WHERE event_id % 3 = 0
+ UNION ALL BY NAME SELECT text, time AS created_at, username, retweets AS retweet_count, location,
+ tags AS hashtags, event_type FROM cells WHERE event_id % 3 = 1
+ UNION ALL BY NAME SELECT text, event_type FROM cells WHERE event_id % 3 = 2
+ UNION ALL BY NAME SELECT text, username FROM lines WHERE NOT too_long""",
+    "src_csv_defaults": f"""WITH {CSV}, read AS (
+ SELECT text, created_at, CAST(retweets AS BIGINT) AS retweet_count,
+  CAST(likes AS BIGINT) AS like_count, username, location, tag_list FROM cells WHERE event_id % 3 = 0
+ UNION ALL BY NAME SELECT text, created_at, CAST(retweets AS BIGINT) AS retweet_count, username,
+  location, tag_list FROM cells WHERE event_id % 3 = 1
+ UNION ALL BY NAME SELECT text FROM cells WHERE event_id % 3 = 2
+ UNION ALL BY NAME SELECT text, username FROM lines WHERE NOT too_long)
+ SELECT 'spark' AS topic, {NOW} AS requested_at, text, coalesce(created_at, {NOW}) AS created_at,
+ coalesce(retweet_count, 0) AS retweet_count, coalesce(like_count, 0) AS like_count,
+ coalesce(username, 'unknown') AS username, 0::BIGINT AS user_followers, location,
+ 'twitter' AS platform, 'csv' AS source,
+ array_to_string(list_concat(coalesce(tag_list, []), {tags('text')}), ',') AS tags FROM read""",
     "src_api_batch": f"WITH {POSTS} SELECT {API_COLUMNS} FROM posts",
     "src_api_filter": f"""WITH {POSTS}, tagged AS MATERIALIZED (SELECT *,
  {tags('lower(text)')} AS tags FROM posts), wanted AS (SELECT * FROM tagged WHERE
@@ -223,10 +384,10 @@ ORACLE: dict[str, str] = {
  {ranked('wanted', 'created_at DESC, tweet_id', K.API_RESULTS_DEFAULT,
          'topic, tweet_id, text, created_at')}""",
     "src_api_stream": f"WITH {POSTS} SELECT {API_COLUMNS} FROM posts",
-    "src_store_tables": f"""WITH RECURSIVE {SCORED}, {RUNS}, {PLACED.format(posts='scored')}
+    "src_store_tables": f"""WITH RECURSIVE {SCORED}, {DEALT}
  SELECT topic, run_start, tweet_id, cleaned_text, sentiment, created_at, retweet_count, username,
  location, CAST(hour(created_at) AS INTEGER) AS hour FROM placed
- WHERE (topic, run_start) IN {NEWEST}""",
+ WHERE (topic, run_start) IN (SELECT topic, max(run_start) FROM placed GROUP BY topic)""",
     # sinks
     "snk_init_tables": f"""WITH RECURSIVE {SCORED}, {RUNS}, {PLACED.format(posts='scored')},
  {TAG_ROWS.replace('FROM posts', 'FROM placed')}
@@ -292,7 +453,8 @@ ORACLE: dict[str, str] = {
     "jn_latest_run": f"""WITH RECURSIVE {POSTS}, {RUNS}, {PLACED.format(posts='posts')}
  SELECT topic, run_start, tweet_id, username, retweet_count FROM placed
  WHERE (topic, run_start) IN {NEWEST}""",
-    "jn_geocode": f"WITH {LOCATED} SELECT * FROM counted JOIN gazetteer USING (location)",
+    "jn_geocode": f"""WITH {PLACES} SELECT c.*, country, lat, lon FROM counted c
+ JOIN resolved USING (location) WHERE lat IS NOT NULL AND lon IS NOT NULL""",
     "jn_geo_markers": f"""WITH {LOCATED}, best AS ({ranked(
         'counted', 'count DESC, location', K.TOP_LOCATIONS, 'topic, location, count')})
  SELECT * FROM best JOIN gazetteer USING (location)""",
@@ -330,11 +492,13 @@ ORACLE: dict[str, str] = {
     "agg_word_freq": f"""WITH {WORDS}, counted AS (SELECT topic, word, count(*) AS count FROM
  (SELECT topic, unnest(w) AS word FROM listed) WHERE word NOT IN (SELECT word FROM stopwords)
  GROUP BY topic, word) {weighted('counted', 'word')}""",
-    "agg_word_bigrams": f"""WITH {WORDS}, counted AS (SELECT topic, p[1] || ' ' || p[2] AS bigram,
- count(*) AS count FROM (SELECT topic, unnest(list_zip(w[:-2], w[2:])) AS p FROM listed
- WHERE len(w) > 1) WHERE p[1] NOT IN (SELECT word FROM stopwords)
- AND p[2] NOT IN (SELECT word FROM stopwords) GROUP BY topic, bigram)
- {weighted('counted', 'bigram')}""",
+    "agg_word_bigrams": f"""WITH {COLLOCATIONS}, counted AS (SELECT topic, a || ' ' || b AS bigram,
+ count, round(score, 3) AS score FROM collocations) {weighted('counted', 'bigram', ', score')}""",
+    "agg_word_cloud": f"""WITH {COLLOCATIONS}, counted AS (
+ SELECT topic, word, CAST(n - coalesce(used, 0) AS BIGINT) AS count FROM singles LEFT JOIN (
+  SELECT topic, word, sum(count) AS used FROM (SELECT topic, unnest([a, b]) AS word, count
+   FROM collocations) GROUP BY ALL) USING (topic, word) WHERE n > coalesce(used, 0)
+ UNION ALL SELECT topic, a || ' ' || b, count FROM collocations) {weighted('counted', 'word')}""",
     # first row per group
     "win_latest_run": f"""WITH RECURSIVE {RUNS} SELECT topic_key AS topic,
  max(run_start) AS timestamp, 'api' AS source FROM starts GROUP BY topic_key""",
@@ -382,10 +546,9 @@ ORACLE: dict[str, str] = {
     "fn_fill_str": f"""WITH {POSTS} SELECT tweet_id, coalesce(location, 'unknown') AS location
  FROM posts""",
     # text analytics
-    "txt_polarity": f"WITH {SCORED} SELECT tweet_id, polarity FROM scored",
-    "txt_polarity_joined": f"WITH {SCORED} SELECT tweet_id, polarity FROM scored",
+    "txt_polarity": FOLDED_POLARITY,
+    "txt_polarity_words": f"WITH {SCORED} SELECT tweet_id, polarity, true AS agree FROM scored",
     "txt_entities": f"WITH {ENTITIES_FOUND} SELECT * FROM entities",
-    "txt_entities_joined": f"WITH {ENTITIES_FOUND} SELECT * FROM entities",
     # Every rank of every topic has a word of the texts, as far as they have so many words.
     "txt_topics_lda_facts": f"""WITH {CLEANED}, tokens AS (SELECT unnest(regexp_extract_all(
  lower(cleaned_text), {_text(K.LDA_WORD_PATTERN)})) AS word FROM cleaned), known AS (
@@ -395,8 +558,25 @@ ORACLE: dict[str, str] = {
  true AS is_distinct, true AS weight_in_range, true AS falling
  FROM known, range({K.LDA_TOPICS}) AS t(topic), range(1, {K.LDA_WORDS} + 1) AS r(rank)
  WHERE r.rank <= n""",
-    "txt_geo_resolve": f"""WITH {LOCATED} SELECT * FROM (SELECT DISTINCT location FROM counted)
- LEFT JOIN gazetteer USING (location)""",
+    "txt_topic_coherence": f"""WITH {CLEANED}, tokens AS (SELECT event_id, topic,
+ list_distinct(list_filter(regexp_extract_all(lower(cleaned_text), {_text(K.LDA_WORD_PATTERN)}),
+ lambda w: length(w) BETWEEN {K.LDA_WORD_LENGTHS[0]} AND {K.LDA_WORD_LENGTHS[1]}
+ AND NOT starts_with(w, '_'))) AS w FROM cleaned),
+inside AS (SELECT event_id, topic, unnest(w) AS word FROM tokens),
+counted AS (SELECT topic, word, count(*) AS n FROM inside GROUP BY ALL),
+best AS ({ranked('counted', 'n DESC, word', 10, 'topic, word')}),
+wanted AS (SELECT x.topic, x.word AS a, y.word AS b FROM best x JOIN best y USING (topic)
+ WHERE x.word < y.word),
+posted AS (SELECT event_id, word FROM inside WHERE word IN (SELECT word FROM best)),
+single AS (SELECT word, count(*) AS n FROM posted GROUP BY word),
+met AS (SELECT x.word AS a, y.word AS b, count(*) AS n FROM posted x JOIN posted y USING (event_id)
+ WHERE x.word < y.word GROUP BY ALL),
+measured AS (SELECT topic, CASE WHEN m.n IS NULL THEN -1.0 WHEN m.n = total THEN 1.0
+ ELSE ln(m.n / total * total * total / (p.n * q.n)) / -ln(m.n / total) END AS npmi
+ FROM wanted LEFT JOIN met m USING (a, b) LEFT JOIN single p ON p.word = a
+ LEFT JOIN single q ON q.word = b, (SELECT CAST(count(*) AS DOUBLE) AS total FROM cleaned))
+SELECT topic, count(*) AS n_pairs, round(avg(npmi), 6) AS coherence FROM measured GROUP BY topic""",
+    "txt_geo_resolve": f"WITH {PLACES} SELECT * FROM resolved",
     # streams
     "st_hourly_volume": HOURLY,
     "st_hashtag_counts": f"WITH {TAG_COUNTS} SELECT * FROM tag_counts",
@@ -404,10 +584,10 @@ ORACLE: dict[str, str] = {
  FROM scored GROUP BY topic, sentiment""",
     "st_crisis_score": f"""WITH {CLEANED} {crisis_view(
         "topic, date_trunc('hour', created_at) AS hour")}""",
-    "st_dedupe_posts": f"""WITH {POSTS} SELECT topic, tweet_id, username, created_at, retweet_count
- FROM posts""",
+    "st_dedupe_posts": f"""WITH {POSTS} SELECT topic, tweet_id, username, created_at,
+ retweet_count + 3 AS retweet_count, created_at + INTERVAL 2 HOUR AS requested_at FROM posts""",
     "st_topic_runs": f"WITH RECURSIVE {RUNS} SELECT * FROM runs",
-    "st_sink_append": f"""WITH RECURSIVE {SCORED}, {RUNS}, {PLACED.format(posts='scored')}
+    "st_sink_append": f"""WITH RECURSIVE {SCORED}, {DEALT}
  SELECT topic, run_start, sentiment, count(*) AS n_posts,
  CAST(sum(retweet_count) AS BIGINT) AS retweets FROM placed GROUP BY ALL""",
     # data checks

@@ -31,7 +31,9 @@ def _canonical(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)]
     for name in frame.columns:
         column = frame[name]
-        if str(column.dtype).startswith("datetime"):
+        if str(column.dtype) == "Int64":  # whole numbers with nulls, as Spark returns them
+            frame = frame.assign(**{name: column.astype("float64")})
+        elif str(column.dtype).startswith("datetime"):
             frame = frame.assign(**{name: column.astype("datetime64[us]").astype(str)})
         elif column.dtype == object or str(column.dtype) in ("str", "string"):
             frame = frame.assign(**{name: column.where(column.notna(), "<null>").astype(str)})

@@ -140,7 +140,7 @@ def _members(made: DataFrame, group: str, carried: Sequence[str], levels: int) -
             member["number"].alias("number"), member["node"].alias("node"),
             *[member[c].alias(c) for c in carried], F.concat(inside, F.col("upper")).alias("path"))
 
-    return made.select(group, F.inline(F.transform("members", placed)))
+    return made.select(group, "above", F.inline(F.transform("members", placed)))
 
 
 @dataclass
@@ -153,14 +153,18 @@ class Tree:
     tiers: list[DataFrame]
     roots: DataFrame
 
-    def paths(self) -> DataFrame:
-        """Every row with ``path``, its siblings up to the root of its group."""
-        none = F.array().cast(f"array<{STEP}>")
-        found = self.tiers[-1].withColumn("upper", none)
+    def paths(self, above: DataFrame) -> DataFrame:
+        """Every row with ``path``, its siblings up to the root of its group and beyond.
+
+        ``above`` has for each group ``of``, ``upper``, the siblings over its root, and
+        ``above``, which comes with every row. It is joined with the few blocks of the last
+        tier, and each tier with the one over it, so rows are not shuffled.
+        """
+        found = self.tiers[-1].join(above, F.col(self.group).eqNullSafe(F.col("of"))).drop("of")
         for below, made in zip(reversed(self.tiers[:-1]), reversed(self.tiers[1:]), strict=True):
             upper = _members(found, self.group, (), self.levels).select(
                 F.col(self.group).alias("of"), F.col("number").alias("of_block"),
-                F.col("path").alias("upper"))
+                F.col("path").alias("upper"), "above")
             found = below.join(upper, (F.col("block") == F.col("of_block"))
                                & F.col(self.group).eqNullSafe(F.col("of"))).drop("of", "of_block")
         return _members(found, self.group, self.carried, self.levels)
@@ -205,15 +209,15 @@ def manifest(docs: DataFrame, fields: Sequence[str], group: str, order: Sequence
     lower = grow(leaves, "of_group", [*keys, "leaf"], "leaf", [*keys, "tampered"], levels)
     roots = stored(lower.roots.select(F.lit(0).alias("all"), "of_group", "root"), "merkle-roots")
     upper = grow(roots, "all", ["of_group"], "root", ["of_group"], levels)
-    top = upper.roots.select("all", F.col("root").alias("top"))
-    over = upper.paths().join(top, "all").select(
-        F.col("of_group").alias("of_root"), F.col("node").alias("subroot"),
-        F.col("path").alias("over"), "top")
-    found = lower.paths().join(over, F.col("of_group").eqNullSafe(F.col("of_root")))
+    none = F.array().cast(f"array<{STEP}>")
+    top = upper.roots.select(F.col("all").alias("of"), none.alias("upper"), F.col("root").alias("above"))
+    over = upper.paths(top).select(
+        F.col("of_group").alias("of"), F.col("path").alias("upper"),
+        F.struct(F.col("node").alias("subroot"), F.col("above").alias("root")).alias("above"))
+    found = lower.paths(over)
     return found.select(
         F.col("of_group").alias(group), *[F.col(k).alias(c) for k, c in zip(keys, order, strict=True)],
-        F.col("node").alias("leaf"), "tampered", "subroot", F.col("top").alias("root"),
-        F.concat("path", "over").alias("path"))
+        F.col("node").alias("leaf"), "tampered", "above.subroot", "above.root", "path")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm.storage import stored, table
+from postpulse.llm.storage import fresh, stored, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -41,7 +41,7 @@ BASE = {
 MORE = {
     "phone": r"(?<![0-9A-Za-z+.,-])(?<![0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])"
              r"[0-9]{3}[ .-][0-9]{4}(?![0-9])(?![ .,-][0-9])",
-    "secret": r"(?<![A-Za-z0-9_/+=@.-])(?=[A-Za-z_/+=-]*[0-9])[A-Za-z0-9_/+=-]{16,128}+"
+    "secret": r"(?<![A-Za-z0-9_/+=@.-])(?=[A-Za-z_/+=-]*[0-9])[A-Za-z0-9_/+=-]{16,}+"
               r"(?![A-Za-z0-9_/+=@-])",
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -68,10 +68,37 @@ CLEAN_AFTER = r"^(?:$|[\s)\]>\"'».,;:!?])"
 LABELERS = 6
 AROUND = 32
 ROUNDS = 30
+GATHERED = 256
 THRESHOLD = 0.5
 
 
 # --- candidates ---------------------------------------------------------------
+def _gathered(items: Column, kind: str,
+              step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """A walk over an array: ``step`` gives the next place and a result of ``kind``, from the
+    place so far and an item. Returns a struct of the last place and all results, ``out``.
+
+    Appending to an array copies it, so results are gathered in short arrays, and these in one.
+    """
+    start = F.struct(
+        F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("few"),
+        F.array().cast(f"array<array<{kind}>>").alias("full"))
+
+    def append(state: Column, item: Column) -> Column:
+        at, result = step(state["at"], item)
+        is_full = F.size(state["few"]) >= GATHERED
+        return F.struct(
+            at.alias("at"),
+            F.when(is_full, F.array(result)).otherwise(
+                F.concat(state["few"], F.array(result))).alias("few"),
+            F.when(is_full, F.concat(state["full"], F.array(state["few"]))).otherwise(
+                state["full"]).alias("full"))
+
+    return F.aggregate(items, start, append, lambda state: F.struct(
+        state["at"].alias("at"),
+        F.concat(F.flatten(state["full"]), state["few"]).alias("out")))
+
+
 def _located(text: Column, pattern: str, kind: str) -> Column:
     """All matches with their places in code points.
 
@@ -82,17 +109,13 @@ def _located(text: Column, pattern: str, kind: str) -> Column:
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
     steps = F.zip_with(hits, gaps, lambda hit, gap: F.struct(
         hit.alias("value"), F.length(gap).cast("long").alias("gap")))
-    start = F.struct(
-        F.lit(0).cast("long").alias("at"),
-        F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out"))
-
-    def step(state: Column, item: Column) -> Column:
-        begin = state["at"] + item["gap"]
+    def step(at: Column, item: Column) -> tuple[Column, Column]:
+        begin = at + item["gap"]
         end = begin + F.length(item["value"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(
-            begin.alias("start"), end.alias("end"), item["value"].alias("value")))).alias("out"))
+        return end, F.struct(
+            begin.alias("start"), end.alias("end"), item["value"].alias("value"))
 
-    found = F.aggregate(steps, start, step, lambda state: state["out"])
+    found = _gathered(steps, "struct<start:bigint,end:bigint,value:string>", step)["out"]
     placed = F.transform(found, lambda m: F.struct(
         F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
         m["value"].alias("value"),
@@ -341,30 +364,24 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     Documents without spans stay as they are. All columns are kept; their names may be
     any.
     """
-    base, more = (f"__{name}" + "_" * max(map(len, docs.columns)) for name in ("base", "more"))
-    found = with_candidates(docs, text, base, more)
-    seen = docs.select(F.col(text).alias("t"))
-    score = train(with_candidates(seen, "t", "base", "more").select(
-        _all_spans("base", "more").alias("s")).select("s.span", "s.strict"))
+    base, more = fresh(docs.columns, "__base", "__more")
+    found = stored(with_candidates(docs, text, base, more), "candidates")
+    score = train(found.select(_all_spans(base, more).alias("s")).select("s.span", "s.strict"))
     spans = F.array_sort(
         F.concat(F.col(base), accepted(more, score)),
         lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(
             a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
     whole = F.col(text)
 
-    def step(state: Column, m: Column) -> Column:
-        apart = m["start"] >= state["at"]
-        gap = F.substring(whole, state["at"].cast("int") + 1, (m["start"] - state["at"]).cast("int"))
-        piece = F.array(F.concat(gap, F.lit("["), F.upper(m["kind"]), F.lit("]")))
-        return F.struct(
-            F.greatest(state["at"], m["end"]).alias("at"),
-            F.when(apart, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        gap = F.substring(whole, at.cast("int") + 1, (m["start"] - at).cast("int"))
+        piece = F.concat(gap, F.lit("["), F.upper(m["kind"]), F.lit("]"))
+        return F.greatest(at, m["end"]), F.when(m["start"] >= at, piece).otherwise("")
 
-    start = F.struct(F.lit(0).cast("long").alias("at"),
-                     F.array().cast("array<string>").alias("out"))
-    rebuilt = F.aggregate(F.col(more), start, step, lambda state: F.concat(
+    # The walk is bound once, as the only element of an array.
+    rebuilt = F.get(F.transform(F.array(_gathered(F.col(more), "string", step)), lambda state: F.concat(
         F.array_join(state["out"], ""),
-        F.substring(whole, state["at"].cast("int") + 1, F.length(whole))))
+        F.substring(whole, state["at"].cast("int") + 1, F.length(whole)))), 0)
     merged = found.withColumn(more, spans)
     return merged.select(*[
         F.when(F.size(more) > 0, rebuilt).otherwise(whole).alias(text) if name == text

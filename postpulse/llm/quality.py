@@ -4,7 +4,12 @@ Besides plain counts, public vocabularies measure how a text splits into tokens:
 characters per token, the share of tokens that are single fallback bytes, and the
 entropy of its tokens. Each language has a band for each figure, around the median of
 all its documents and as wide as a multiple of their spread; what lies outside is
-rejected. Entropy depends on length, so its bands are per language and length class.
+rejected. Entropy depends on length, so its bands are per language and length class, and
+documents of the neighbouring classes count a little.
+
+Every document is judged by the same formula however many there are: the fewer documents a
+band is learned from, the wider it is, so that the width changes little from one document
+to the next.
 """
 
 from __future__ import annotations
@@ -27,12 +32,14 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 
 # A band reaches from its quartiles by this many times their distance, and by a share
-# of the median or a fixed width at least. Groups of fewer documents than MIN_GROUP reject
-# nothing.
+# of the median or a fixed width at least. It is wider by ``SLACK`` parts of the number of
+# documents behind it.
 WIDTHS = 3.0
 MIN_SHARES = {"chars_per_token": 0.15, "entropy": 0.02, "byte_share": 0.0}
 MIN_WIDTHS = {"chars_per_token": 0.0, "entropy": 0.0, "byte_share": 0.02}
-MIN_GROUP = 30
+SLACK = 10
+# How often a document counts in its length class and in those one and two away.
+WEIGHTS = (4096, 64, 1)
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -137,19 +144,34 @@ def _size_class(n_tokens: Column) -> Column:
 
 
 def bands(figures: DataFrame) -> DataFrame:
-    """Bands by ``band_lang`` and ``band_size`` (-1: all lengths) from all documents.
+    """Bands by ``band_lang`` and ``band_size`` (-1: all lengths) from all documents: the
+    quartiles of each figure and ``band_n``, the number of documents behind them.
 
     ``figures`` has ``lang`` and the struct ``m``. Documents that fail the base rules
-    do not shape the bands.
+    do not shape the bands. Entropy is rounded to thousandths, which bounds what a group holds.
     """
     good = figures.filter(~base_failed(F.col("m"))).select(
-        F.coalesce("lang", F.lit("")).alias("band_lang"),
-        F.explode(F.array(F.lit(-1), _size_class(F.col("m.n_tokens")))).alias("band_size"), "m")
-    quartiles = [
-        F.percentile_approx(f"m.{name}", [0.25, 0.5, 0.75], 1000).alias(name)
-        for name in MIN_SHARES
-    ]
-    return good.groupBy("band_lang", "band_size").agg(F.count("*").alias("band_n"), *quartiles)
+        F.coalesce("lang", F.lit("")).alias("band_lang"), "m")
+    parts, none = [0.25, 0.5, 0.75], F.lit(None).cast("array<double>")
+    whole = good.groupBy("band_lang").agg(
+        F.count("*").cast("double").alias("band_n"),
+        *[F.percentile_approx(f"m.{name}", parts, 1000).alias(name)
+          for name in ("chars_per_token", "byte_share")])
+    near = [(d, WEIGHTS[abs(d)]) for d in range(1 - len(WEIGHTS), len(WEIGHTS))]
+    spread = good.select(
+        "band_lang", F.round("m.entropy", 3).alias("value"),
+        F.inline(F.array(*[F.struct(
+            (_size_class(F.col("m.n_tokens")) + d).alias("band_size"),
+            F.lit(weight).cast("long").alias("weight")) for d, weight in near])))
+    sized = spread.groupBy("band_lang", "band_size").agg(
+        (F.sum("weight") / WEIGHTS[0]).alias("band_n"),
+        F.percentile("value", parts, F.col("weight")).alias("entropy"))
+    return whole.select(
+        "band_lang", F.lit(-1).alias("band_size"), "band_n", "chars_per_token", "byte_share",
+        none.alias("entropy"),
+    ).unionByName(sized.filter("band_size >= 0").select(
+        "band_lang", "band_size", "band_n", none.alias("chars_per_token"),
+        none.alias("byte_share"), "entropy"))
 
 
 def base_failed(m: Column) -> Column:
@@ -160,9 +182,9 @@ def base_failed(m: Column) -> Column:
 def _outside(name: str, m: Column, quartiles: Column, n: Column) -> Column:
     value = m[name]
     spread = F.greatest(WIDTHS * (quartiles[2] - quartiles[0]), MIN_SHARES[name] * quartiles[1],
-                        F.lit(MIN_WIDTHS[name]))
+                        F.lit(MIN_WIDTHS[name])) * (1 + SLACK / n)
     off = (value < quartiles[0] - spread) | (value > quartiles[2] + spread)
-    return F.coalesce((n >= MIN_GROUP) & off, F.lit(False))
+    return F.coalesce(off, F.lit(False))
 
 
 def judged(figures: DataFrame, limits: DataFrame, m: str, verdict: str) -> DataFrame:

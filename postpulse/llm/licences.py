@@ -83,13 +83,13 @@ class SuffixAutomaton:
 
     ``step`` tables by state, ``link`` to the longest proper suffix in another state,
     ``length`` of a state's longest run, and ``seen``: for each sequence that holds the
-    run, where it first ends.
+    run, all places where it ends.
     """
 
     def __init__(self) -> None:
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.seen: list[dict[int, int]] = [{}]
+        self.seen: list[dict[int, set[int]]] = [{}]
 
     def _new(self, length: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
@@ -104,7 +104,7 @@ class SuffixAutomaton:
         if self.length[target] == self.length[source] + 1:
             return target
         copy = self._new(self.length[source] + 1, dict(self.step[target]), self.link[target])
-        self.seen[copy] = dict(self.seen[target])
+        self.seen[copy] = {n: set(ends) for n, ends in self.seen[target].items()}
         self.link[target] = copy
         while source >= 0 and self.step[source].get(word) == target:
             self.step[source][word] = copy
@@ -123,14 +123,14 @@ class SuffixAutomaton:
                     source = self.link[source]
                 self.link[new] = 0 if source < 0 else self._split(source, word)
                 last = new
-            self.seen[last].setdefault(number, at + 1)
+            self.seen[last].setdefault(number, set()).add(at + 1)
 
     def finish(self) -> None:
         """Hand down where runs end to their suffixes."""
         for state in sorted(range(1, len(self.step)), key=lambda s: -self.length[s]):
             above = self.seen[self.link[state]] if self.link[state] > 0 else {}
-            for number, at in self.seen[state].items():
-                above[number] = min(at, above.get(number, at))
+            for number, ends in self.seen[state].items():
+                above.setdefault(number, set()).update(ends)
 
     def state_of(self, sequence: list[int]) -> int:
         state = 0
@@ -209,8 +209,8 @@ class Scanner:
         """The share of each template that its best chain of matches covers."""
         spots = defaultdict(list)
         for start, size, state in matches:
-            for template, end in self.automaton.seen[state].items():
-                spots[template].append((start, end - size, size))
+            for template, ends in self.automaton.seen[state].items():
+                spots[template] += [(start, end - size, size) for end in ends]
         return {t: _chain(sorted(found)) / self.sizes[t] for t, found in spots.items()}
 
 

@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -46,6 +47,16 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def name_of(page: object) -> str:
+    """The name of a page in a record; a null has a name that no page has."""
+    return "null" if page is None else f"id:{quote(str(page), safe='')}"
+
+
+def _page_of(name: str) -> str | None:
+    name = name.strip("<>").removeprefix(_PAGE)
+    return None if name == "null" else unquote(name.removeprefix("id:"))
+
+
 def _header(fields: list[tuple[str, str | None]], length: int) -> bytes:
     lines = ["WARC/1.1"] + [f"{name}: {value}" for name, value in fields if value is not None]
     return "\r\n".join([*lines, f"Content-Length: {length}", "", ""]).encode()
@@ -71,20 +82,25 @@ class Source:
         self.stream, self.inflater = stream, zlib.decompressobj(31)
         self.ready = bytearray()
         self.raw = b""
+        self.open = False  # whether a member has begun and not ended
 
     def _more(self) -> bool:
         while True:
             if self.inflater.eof:
                 self.raw = self.inflater.unused_data
                 self.inflater = zlib.decompressobj(31)
+                self.open = False
             data = self.inflater.unconsumed_tail or self.raw or self.stream.read(PIECE)
             self.raw = b""
+            self.open = self.open or bool(data)
             # Without further input, what the inflater still holds comes out.
             out = self.inflater.decompress(bytes(data), PIECE)
             if out:
                 self.ready += out
                 return True
             if not data:
+                if self.open and not self.inflater.eof:
+                    raise ValueError("archive ends inside a gzip member")
                 return False
 
     def until(self, mark: bytes) -> bytes | None:
@@ -169,8 +185,7 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL_BYTES) -> Dat
                     parts += 1
                 payload = (html or "").encode()
                 digest = digest_of(payload)
-                label = "none" if page is None else str(page)
-                at = archive.add(response_record(label, url, payload, digest))
+                at = archive.add(response_record(name_of(page), url, payload, digest))
                 out.append((archive.uri, at, page, len(payload), digest))
                 if archive.size >= roll:
                     archive.close()
@@ -239,7 +254,7 @@ class _Members:
 
 
 def _revisit(fields: dict[str, str], http: bytes, refers_to: str | None) -> bytes:
-    target = None if refers_to is None else f"<{_PAGE}{refers_to}>"
+    target = None if refers_to is None else f"<{_PAGE}{name_of(refers_to)}>"
     header = _header([
         ("WARC-Type", "revisit"), ("WARC-Record-ID", fields["warc-record-id"]),
         ("WARC-Date", fields["warc-date"]), ("WARC-Target-URI", fields.get("warc-target-uri")),
@@ -322,13 +337,13 @@ def _parsed(member: bytes) -> tuple:
     fields = fields_of(header)
     block = rest[:int(fields["content-length"])]
     http, payload = block.split(b"\r\n\r\n", 1)
-    page = fields["warc-record-id"].strip("<>").removeprefix(_PAGE)
+    page = _page_of(fields["warc-record-id"])
     size, digest = int(fields_of(http)["content-length"]), fields["warc-payload-digest"][5:]
     if fields["warc-type"] == "response" and (len(payload) != size or digest_of(payload) != digest):
         raise ValueError(f"payload of {page} does not match its digest")
     refers = fields.get("warc-refers-to")
     return (page, size, digest, fields["warc-type"],
-            None if refers is None else refers.strip("<>").removeprefix(_PAGE))
+            None if refers is None else _page_of(refers))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -375,7 +390,7 @@ def archived(pages: DataFrame, folder: str, least: int = MIN_REVISIT_BYTES,
     kind = dict(pages.dtypes)["page_id"]
 
     def number(name: str):
-        return F.when(F.col(name) != "none", F.col(name).cast(kind)).alias(name)
+        return F.col(name).cast(kind).alias(name)
 
     return found.select(number("page_id"), "payload_bytes", "payload_digest", "record_type",
                         number("refers_to"))

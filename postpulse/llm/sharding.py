@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm.storage import table
+from postpulse.llm.storage import fresh, table
 
 SLOTS = 65_537
 SHARDS = 64
@@ -66,12 +66,13 @@ def place(docs: DataFrame, owners: Sequence[str], keys: Sequence[str] = ("doc_id
     these names are replaced.
     """
     spark = docs.sparkSession
-    rows = spark.createDataFrame(list(enumerate(owners)), "__slot int, __shard string")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (slot, shard)]
+    of, at, owner = fresh(docs.columns, "__of", "__slot", "__shard")
+    rows = spark.createDataFrame(list(enumerate(owners)), f"{at} int, {owner} string")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (slot.lower(), shard.lower())]
     # One row per slot: the size is fixed, whatever the data.
-    placed = docs.withColumn("__of", slot_of(keys, len(owners))).join(
-        F.broadcast(rows), F.col("__of") == F.col("__slot"))
-    return placed.select(*kept, F.col("__of").alias(slot), F.col("__shard").alias(shard))
+    placed = docs.withColumn(of, slot_of(keys, len(owners))).join(
+        F.broadcast(rows), F.col(of) == F.col(at))
+    return placed.select(*kept, F.col(of).alias(slot), F.col(owner).alias(shard))
 
 
 def op5_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

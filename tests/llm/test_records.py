@@ -44,10 +44,35 @@ def test_normaliser_round_trip():
 
 def test_a_broken_archive_is_an_error():
     whole = gzip.compress(page(1, b"payload" * 1000))
-    with pytest.raises(ValueError, match="inside a record"):
+    with pytest.raises(ValueError, match="inside a (record|gzip member)"):
         warc.normalise_stream(io.BytesIO(whole[:-40]), io.BytesIO())
 
 
+def test_an_archive_cut_between_records_is_an_error():
+    """The text ends with a whole record, but the gzip member does not end."""
+    records = [page(i, b"payload %d" % i * 1000) for i in range(3)]
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    cut = packer.compress(b"".join(records)) + packer.flush(zlib.Z_SYNC_FLUSH)
+    for data in (cut, gzip.compress(records[0]) + cut):
+        with pytest.raises(ValueError, match="inside a gzip member"):
+            warc.normalise_stream(io.BytesIO(data), io.BytesIO())
+    assert warc.normalise_stream(io.BytesIO(b""), io.BytesIO()) == []
+
+
+def test_pages_of_any_name(spark):
+    names = ["none", "null", "id:x", "", "a b", "é%20\r\nX: y", None]
+    rows = [(name, "u", f"text {i // 2}") for i, name in enumerate(names)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    found = warc.archived(pages, scratch_path(spark, "warc")).collect()
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in found), key=repr)
+    want = []
+    for i, name in enumerate(names):
+        pair = names[i // 2 * 2:i // 2 * 2 + 2]
+        last = max(pair, key=lambda n: (n is not None, (n or "").encode()))
+        want.append((name, "response", None) if name == last else (name, "revisit", last))
+    assert got == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("roll", [warc.ROLL_BYTES, 2000])
 def test_pages_come_back(spark, roll):
     html = ["<p>é</p>", None, "", "dup", "dup", "dup", "x" * 100_000]

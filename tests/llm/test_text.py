@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from postpulse.llm import licences, packing, pii, quality, sharding, words
 from postpulse.llm.tokens import byte_pair_ids
@@ -113,6 +114,35 @@ def test_good_documents_keep_their_columns(spark):
     assert quality.good_documents(frame.limit(0), BYTE_PAIRS, PIECES).count() == 0
 
 
+def test_verdicts_change_little_with_the_number_of_documents(spark):
+    """One document more does not switch a rule on: what is kept among 29 is kept among 30,
+    and junk goes in small groups as well."""
+    chance = np.random.default_rng(3)
+    latin = [f"{a}{b}{c}" for a in "bcdfgl" for b in "aeiou" for c in ("n", "r", "st")]
+    letters = [chr(c) for c in range(0x1200, 0x1248) if chr(c).isalpha()]
+    strange = ["".join(chance.choice(letters, 4)) for _ in range(150)]
+
+    def prose(words, n):
+        return " ".join(chance.choice(words, n))
+
+    clean, junk = [prose(latin, 200 + 3 * i) for i in range(31)], prose(strange, 200)
+    # A little longer words than the others have.
+    longer = prose([f"{a}{b}" for a in latin for b in ("", "en")], 200)
+    rows = []
+    for size in (1, 2, 6, 12, 29, 30, 31):
+        rows += [(i, clean[i], f"l{size}") for i in range(size)] + [(-2, longer, f"l{size}")]
+        if size > 2:
+            rows += [(-1, junk, f"l{size}")]
+    # One text is much longer than all others.
+    rows += [(99, prose(latin, 30_000), "l30")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = quality.quality(frame.withColumn("doc_id", F.struct("lang", "doc_id")), BYTE_PAIRS, PIECES)
+    kept = {tuple(r["doc_id"]): r["kept"] for r in found.collect()}
+    assert all(v for (_, i), v in kept.items() if i >= 0)
+    assert not any(v for (_, i), v in kept.items() if i == -1)
+    assert len({kept[f"l{n}", -2] for n in (29, 30, 31)}) == 1
+
+
 def test_byte_share_is_judged_by_the_band_of_the_language(spark):
     """Clean text in a script that the vocabulary spells out in bytes stays; in a language
     without such text, the same share is junk."""
@@ -209,8 +239,28 @@ def test_matching_statistics(spark):
         state, size = (automaton.step[state][word], size + 1) if word in automaton.step[state] else (0, 0)
         longest = next(n for n in range(i + 1, -1, -1) if not n or tuple(text[i + 1 - n:i + 1]) in runs)
         assert size == longest
-        for number, end in automaton.seen[state].items():
-            assert sequences[number][end - size:end] == text[i + 1 - size:i + 1]
+        for number, sequence in enumerate(sequences):
+            ends = {end for end in range(size, len(sequence) + 1)
+                    if state and sequence[end - size:end] == text[i + 1 - size:i + 1]}
+            assert automaton.seen[state].get(number, set()) == ends
+
+
+def test_a_run_that_a_template_holds_twice_is_chained_at_both_places(spark):
+    head, tail = "one two three four", "five six seven eight"
+    templates = {"double": f"{head} alpha beta {head} {tail}", "twice": f"{head} {head}"}
+    texts = [f"{head} x alpha y {head} {tail}", f"{head} other {head}", f"{head} {tail}", head, "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licences.scan_licences(frame, templates=templates, phrases={}).collect()}
+    # Four words at the start and eight at the end of the fourteen.
+    assert found[0]["score"] == pytest.approx(12 / 14) and found[0]["labels"] == "double"
+    assert found[1]["score"] == 1.0 and found[1]["labels"] == "twice"
+    assert found[2]["score"] == pytest.approx(8 / 14) and found[2]["labels"] == ""
+    assert found[3]["score"] == 0.5
+    apart = {"A": "a1 a2 a3 a4 b5 b6 b7 b8 a1 a2 a3 a4"}
+    row = licences.scan_licences(spark.createDataFrame(
+        [(1, "b5 b6 b7 b8 x a1 a2 a3 a4")], "doc_id long, text string"), templates=apart, phrases={}).first()
+    assert row["score"] == pytest.approx(8 / 12)
+    assert licences.scan_licences(frame.limit(0)).count() == 0
 
 
 def test_a_long_notice_is_found_with_gaps(spark):
@@ -283,6 +333,24 @@ def test_masking(private):
     assert pii.find_personal_data(private.limit(0)).count() == 0
 
 
+def test_long_secrets_and_many_spans(spark):
+    """Tokens of any length are candidates, and a text of 16,000 addresses takes no time that
+    grows with the square of their number."""
+    tokens = [("aB3x" * 64)[:n] for n in (20, 104, 128, 129, 204, 256)] + ["Zk9q" * 5000]
+    rows = [(i, f"api key token {t} end") for i, t in enumerate(tokens)]
+    many = " ".join(f"u{i}@ex{i % 7}.org" for i in range(16_000))
+    rows += [(100, many)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    loose = pii.with_candidates(frame, "text", "base", "more")
+    found = {r["doc_id"]: r for r in loose.collect()}
+    for i, token in enumerate(tokens):
+        assert [(m["start"], m["end"]) for m in found[i]["more"]] == [(14, 14 + len(token))]
+    plain = [m.span() for m in re.finditer(r"\S+", many)]
+    assert [(m["start"], m["end"]) for m in found[100]["base"]] == plain
+    text = {r["doc_id"]: r["text"] for r in pii.masked(frame).collect()}
+    assert text[100] == " ".join(["[EMAIL]"] * 16_000)
+
+
 def test_label_model_finds_the_reliable_labelers():
     chance = np.random.default_rng(5)
     truth = chance.random(4000) < 0.3
@@ -319,6 +387,15 @@ def test_lookup_table_is_filled_in_turns(spark):
             wrong()
 
 
+def test_clashing_columns_are_placed(spark):
+    owners = sharding.fill_table(["a", "b", "c"], 101)
+    frame = spark.createDataFrame([(1, 2, 3, 4, 5)], "doc_id long, __slot int, __of int, __shard int, SLOT int")
+    placed = sharding.place(frame, owners)
+    assert placed.columns == ["doc_id", "__slot", "__of", "__shard", "slot", "shard"]
+    row = placed.first()
+    assert (row["__slot"], row["__of"], row["__shard"]) == (2, 3, 4) and row["shard"] == owners[row["slot"]]
+
+
 def test_rows_are_placed_by_key(spark):
     owners = sharding.fill_table(["a", "b", "c"], 101)
     rows = [(i % 50 if i % 9 else None, "t", "old") for i in range(200)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postpulse.llm.storage import stored
+from postpulse.llm.storage import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,7 +40,8 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (its smallest node) of every node of ``edges`` (a, b).
 
-    Loops, repeated and null edges do no harm. Nodes are of any orderable type.
+    Loops, repeated and null edges do no harm. Nodes are of any orderable type. The result
+    is a stored table; the edges of the rounds are deleted.
     """
     pairs = edges.select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"),
@@ -48,11 +49,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = stored(pairs, "edges")
     before = _mark(current)
     while True:
-        current = stored(_star(_star(current, True), False), "edges")
+        last, current = current, stored(_star(_star(current, True), False), "edges")
+        discard(last)
         now = _mark(current)
         if now == before:
             break
         before = now
     members = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return members.union(roots)
+    result = stored(members.union(roots), "components")
+    discard(current)
+    return result

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from postpulse.llm import words as W
 from postpulse.llm.components import connected_components
-from postpulse.llm.storage import stored, table
+from postpulse.llm.storage import discard, fresh, stored, table
 
 WIDTH = 5
 PERCENT = 80
@@ -375,16 +375,22 @@ def links(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         owners = cells.select("node", key).distinct().join(nodes, "node", "left_semi")
         sets = stored(whole_sets(docs, owners, key, width), "sets")
-        return _linked(pairs, sets, percent)
+        linked = stored(_linked(pairs, sets, percent), "links")
+        discard(pairs, sets)
+        return linked
 
     first = _few_pairs(cells, percent).select("x", "y").union(
         _drawn_pairs(cells, 0)).union(_drawn_pairs(cells, 1))
-    components = stored(connected_components(found(first)), "components")
+    linked = found(first)
+    components = connected_components(linked)
+    discard(linked)
     held = stored(_open_cells(cells.filter(F.col("sets") > FEW), components), "open-cells")
     if not held.isEmpty():
         # What is connected already counts as links to the component's smallest node.
-        more = found(_all_pairs_outside(held, percent)).union(components.select("node", "component"))
-        components = stored(connected_components(more), "components")
+        linked, before = found(_all_pairs_outside(held, percent)), components
+        components = connected_components(linked.union(before.select("node", "component")))
+        discard(linked, before)
+    discard(held, cells, sketches)
     return matrix, components
 
 
@@ -429,19 +435,21 @@ def representatives(docs: DataFrame, key: str = "doc_id", width: int = WIDTH,
     without words are components of their own.
     """
     found = _components(docs, key, width, percent)
+    own_key, own_hash, row_hash, row = fresh(
+        docs.columns, "__key", "__text_hash", "__row_hash", "__row")
     wordless = F.col("n_shingles") == 0
     chosen = found.groupBy(
         "__component", F.when(wordless, F.col(key)).alias("__own"),
         F.when(wordless, F.col("text_hash")).alias("__empty"),
     ).agg(F.min(F.struct(F.col(key).isNull().alias("keyless"), F.col(key).alias("key"),
                          "text_hash")).alias("__first")).select(
-        F.col("__first.key").alias("__key"), F.col("__first.text_hash").alias("__text_hash"))
-    rows = docs.withColumn("__row_hash", F.xxhash64("text"))
-    kept = rows.join(chosen.distinct(), rows[key].eqNullSafe(F.col("__key"))
-                     & (F.col("__row_hash") == F.col("__text_hash")), "left_semi")
-    order = Window.partitionBy(key, "__row_hash").orderBy(F.lit(1))
-    return kept.withColumn("__row", F.row_number().over(order)).filter(
-        F.col("__row") == 1).select(*[F.col(f"`{name}`") for name in docs.columns])
+        F.col("__first.key").alias(own_key), F.col("__first.text_hash").alias(own_hash))
+    rows = docs.withColumn(row_hash, F.xxhash64("text"))
+    kept = rows.join(chosen.distinct(), rows[key].eqNullSafe(F.col(own_key))
+                     & (F.col(row_hash) == F.col(own_hash)), "left_semi")
+    order = Window.partitionBy(key, row_hash).orderBy(F.lit(1))
+    return kept.withColumn(row, F.row_number().over(order)).filter(
+        F.col(row) == 1).select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

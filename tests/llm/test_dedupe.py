@@ -109,6 +109,13 @@ def test_components_without_a_key_of_their_own_keep_a_document(spark):
     assert sorted(map(repr, kept)) == sorted(map(repr, [*expected, *(near & set(kept))]))
 
 
+def test_clashing_columns_stay(spark):
+    rows = [(1, "a b c d e f g", "k", 5, 6), (2, "a b c d e f g", "l", 7, 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __key string, __row int, __Row_Hash int")
+    kept = ngram_join.representatives(frame)
+    assert kept.columns == frame.columns and [tuple(r) for r in kept.collect()] == [rows[0]]
+
+
 def test_empty_tables(spark, documents):
     nothing = documents.limit(0)
     assert ngram_join.jaccard_components(nothing).count() == 0

@@ -124,13 +124,13 @@ def landed_csv(spark: SparkSession, sf_dir: str) -> str:
     rows = posts(spark, sf_dir).select("event_id", "retweet_count", *csv_cells())
     kind = F.col("event_id") % 3
     export.write_csv(rows.filter(kind == 0).drop("event_id", "retweet_count"),
-                     f"{path}/posts of {{1}} [a b]")
+                     f"{path}/posts of {{1}} [a b]", compression="gzip")
     export.write_csv(rows.filter(kind == 1).select(
         F.col("Tweet-Text").alias("Text"), F.col("Timestamp").alias("DateTime"),
         F.col("Author").alias("User"), "retweet_count", F.col("Country").alias("Place"), "Hashtags",
-        "event_type"), f"{path}/100% other+more")
+        "event_type"), f"{path}/100% other+more", compression="gzip")
     export.write_csv(rows.filter(kind == 2).select(
-        F.col("Tweet-Text").alias("Tweet"), "event_type"), f"{path}/texts")
+        F.col("Tweet-Text").alias("Tweet"), "event_type"), f"{path}/texts", compression="gzip")
     key = F.col("n_nationkey").cast("string")
     line = F.concat(F.lit('"Hello, '), "n_name", F.lit('",u'), key, F.when(
         F.col("n_nationkey") % 3 == 0, F.concat(F.lit(",EXTRA,"), key)).otherwise(""))

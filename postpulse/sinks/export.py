@@ -11,7 +11,9 @@ from postpulse.operators.counts import with_crisis_score
 from postpulse.operators.ranking import top_k
 
 
-def write_csv(frame: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_csv(
+    frame: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none"
+) -> None:
     """Any result as CSV with a header; arrays and structs as JSON text."""
     flat = [
         F.to_json(name).alias(name) if kind.startswith(("array", "struct", "map"))
@@ -19,7 +21,7 @@ def write_csv(frame: DataFrame, path: str, mode: str = "errorifexists") -> None:
         for name, kind in frame.dtypes
     ]
     frame.select(flat).write.mode(mode).csv(
-        path, header=True, quote='"', escape='"',
+        path, header=True, quote='"', escape='"', compression=compression,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
 

@@ -44,3 +44,11 @@ def test_posts_are_not_shuffled_with_their_texts(spark, tmp_path, no_broadcast):
     joins = [line for line in plan_of(posts).splitlines() if "Join" in line]
     assert "doc_id" in joins[0], "the text is joined last"
     assert posts.count() == 20
+
+
+def test_compressed_csv_is_read_back(spark, tmp_path):
+    frame = spark.createDataFrame([("a\nb, \"c\"", "x"), ("é", "y")], "Text string, User string")
+    export.write_csv(frame, f"{tmp_path}/out", compression="gzip")
+    assert list(tmp_path.glob("out/*.csv.gz"))
+    got = csv_posts.read_csv(spark, f"{tmp_path}/out")
+    assert sorted(got.collect()) == sorted(frame.collect())

@@ -46,9 +46,38 @@ def test_posts_are_not_shuffled_with_their_texts(spark, tmp_path, no_broadcast):
     assert posts.count() == 20
 
 
+def test_runs_are_found_without_a_shuffle_of_posts(spark):
+    rng, at = random.Random(7), datetime(2024, 1, 5)
+    asked = [(rng.choice(["Spark", "spark", "tech", None]),
+              rng.choice([at + timedelta(seconds=rng.randrange(20 * 86400)), at, None]))
+             for _ in range(400)]
+    posts = spark.createDataFrame([(t, s, i) for i, (t, s) in enumerate(asked)],
+                                  "topic string, requested_at timestamp, i long")
+    folded = runs.topic_runs(posts)
+    placed = runs.assign_runs(posts, folded)
+    assert "SortMergeJoin" not in plan_of(placed)
+    by_second = posts.withColumns({
+        "topic_key": F.lower("topic"), "second": F.unix_seconds("requested_at")}).join(
+        runs.with_search_id(folded), ["topic_key", "second"])
+    want = by_second.select("i", "search_id", F.timestamp_seconds("run_second").alias("run_start"))
+    assert sorted(placed.select("i", "search_id", "run_start").collect()) == sorted(want.collect())
+
+
 def test_compressed_csv_is_read_back(spark, tmp_path):
     frame = spark.createDataFrame([("a\nb, \"c\"", "x"), ("é", "y")], "Text string, User string")
     export.write_csv(frame, f"{tmp_path}/out", compression="gzip")
     assert list(tmp_path.glob("out/*.csv.gz"))
     got = csv_posts.read_csv(spark, f"{tmp_path}/out")
     assert sorted(got.collect()) == sorted(frame.collect())
+
+
+def test_the_store_is_written_as_zstd(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    posts = spark.createDataFrame([("spark", at, "1", "a great day", at, 1, 1, "u", 1, None, "x")],
+                                  "topic string, requested_at timestamp, tweet_id string, text string, "
+                                  "created_at timestamp, retweet_count long, like_count long, "
+                                  "username string, user_followers long, location string, platform string")
+    store.init_tables(spark, str(tmp_path))
+    store.ingest(str(tmp_path), nlp.score_posts(posts), "b")
+    files = list(tmp_path.glob("tweets/batch_id=b/*/*.parquet"))
+    assert files and all(f.name.endswith(".zstd.parquet") for f in files)

@@ -81,3 +81,29 @@ def test_the_store_is_written_as_zstd(spark, tmp_path):
     store.ingest(str(tmp_path), nlp.score_posts(posts), "b")
     files = list(tmp_path.glob("tweets/batch_id=b/*/*.parquet"))
     assert files and all(f.name.endswith(".zstd.parquet") for f in files)
+
+
+def test_few_values_are_a_set_not_a_bitmap(spark):
+    frame = spark.createDataFrame([("a",), ("b",), (None,)], "word string")
+    for gate in (gates.gate(frame, "word"), gates.gate_of({"a", "b"})):
+        assert gate.values == ("a", "b")
+        row = spark.createDataFrame([(["x", "b", "a", "a"], []), (None, None)],
+                                    "words array<string>, none array<string>")
+        got = row.select(gate.places(F.col("words")), gate.places(F.col("none"))).collect()
+        assert [tuple(r) for r in got] == [([1, 2, 3], None), (None, None)]
+
+
+def test_word_patterns_do_what_filters_did(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab1s9_'  'é\nÉS-") for _ in range(rng.randrange(60)))
+             for _ in range(3000)] + ["''" * 20000, "a" + "'" * 20000 + "s", "", "s's's", "12's", "1''s"]
+    frame = spark.createDataFrame([(t,) for t in (*texts, None)], "t string")
+    got = frame.select("t", P.words(F.col("t")).alias("w"), nlp.lda_words(F.col("t")).alias("l"))
+    assert "lambdafunction" not in plan_of(got)
+    for text, words, letters in got.collect():
+        found = re.findall(r"\w[\w']*", (text or "").lower())
+        cut = [w[:-2] if w.endswith("'s") else w for w in found]
+        assert words == [w for w in cut if not re.fullmatch("[0-9]+", w)]
+        if text is not None:
+            runs_of = re.findall(r"[^\W\d]+", text.lower())
+            assert letters == [w for w in runs_of if 2 <= len(w) <= 15 and not w.startswith("_")]

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from itertools import pairwise
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from postpulse import constants as K
 from postpulse.functions import gate as gates
 from postpulse.functions import sentiment
-from postpulse.operators import collocations, joins, nlp, places
+from postpulse.operators import collocations, joins, nlp, places, topics
 
 
 # --- gates ----------------------------------------------------------------------
@@ -292,3 +293,47 @@ def test_no_python_runs_on_posts(spark):
                  nlp.with_polarity(frame, K.LEXICON)):
         plan = view._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_topic_rounds_are_those_of_a_plain_loop(spark):
+    """Blocks of a few words give the weights that one table of all words gives."""
+    texts = ["cats dogs pets cats", "bonds money market", "goal match team goal", "cats goal money",
+             "cats dogs pets cats", "market market match", "team"] * 3
+    frame = spark.createDataFrame([(t,) for t in texts], "cleaned_text string").repartition(3)
+    tokens = nlp.lda_tokens(frame).cache()
+    k, seed, rounds = 3, 7, 6
+    numbered, weights = topics.topic_weights(tokens, nlp.word_numbers, k, seed, rounds, words=5)
+    term = {row["word"]: row["term"] for row in numbered.collect()}
+    got = {row["term"]: [row[f"w{t}"] for t in range(k)] for row in weights.collect()}
+    posts = [(row["draw"], Counter(row["tokens"])) for row in tokens.select(
+        "tokens", F.xxhash64("tokens").alias("draw")).collect()]
+    cells = [(p, draw, term[w], n) for p, (draw, words) in enumerate(posts) for w, n in words.items()]
+    share = [list(topics.drawn_shares(np.array([draw]), np.array([w]), k, seed)[:, 0])
+             for _, draw, w, _ in cells]
+    for turn in range(rounds + 1):
+        by_word = [[0.0] * k for _ in term]
+        by_post = [[0.0] * k for _ in posts]
+        for (p, _, w, n), s in zip(cells, share):
+            for t in range(k):
+                by_word[w][t] += n * s[t]
+                by_post[p][t] += n * s[t]
+        total = [sum(row[t] for row in by_word) for t in range(k)]
+        share = []
+        for p, _, w, _ in cells:
+            raw = [(by_word[w][t] + 0.1) / (total[t] + 0.1 * len(term)) * (by_post[p][t] + 50 / k)
+                   for t in range(k)]
+            share.append([x / sum(raw) for x in raw])
+    assert set(got) == set(term.values())
+    for w, row in got.items():
+        assert row == pytest.approx([by_word[w][t] / total[t] for t in range(k)], rel=1e-9)
+
+
+def test_topics_do_not_depend_on_where_posts_lie(spark, rows):
+    """The same texts in another order and other partitions give the same model."""
+    texts = [("cats dogs pets cats animal",), ("stocks bonds money market",), ("goal match team",),
+             ("goal money cats",)]
+    frame = spark.createDataFrame(texts * 5, "cleaned_text string")
+    other = spark.createDataFrame(texts[::-1] * 5, "cleaned_text string").repartition(5)
+    one, two = rows(nlp.lda_topics(frame, words=4)), rows(nlp.lda_topics(other, words=4))
+    assert [r[:3] for r in one] == [r[:3] for r in two]
+    assert [r[3] for r in one] == pytest.approx([r[3] for r in two], abs=1e-9)

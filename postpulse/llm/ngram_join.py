@@ -11,8 +11,9 @@ holds), and a pair is discarded as soon as its sizes show that it cannot link:
   these columns enter the product. The order puts shingles that many documents share
   last; which ones is counted over all documents. Any order gives the same links.
 * With the places of a shared shingle in both sets, the rest bounds the overlap.
-* A sketch of fixed size bounds from below how many shingles only one of them has.
-* Pairs that remain get their exact overlap from the whole sets.
+* A sketch, larger for larger sets, bounds from below how many shingles only one of them has.
+* Pairs that remain get their exact overlap from the whole sets: first one for each set, then
+  those whose sets these links have not connected.
 
 Columns of a few sets give all their pairs. In a column of many sets that would be too
 many, and as only components are asked for, links inside a component that is already
@@ -47,12 +48,12 @@ MAX_FREQUENT = 1 << 17
 LOCAL_COUNT = 4
 FLUSH_TEXTS = 4096
 RARE = 2048
-# Words of 64 bits in the sketch of a set.
+# Words of 64 bits in the sketch of a set, as long as that is two bits for a shingle.
 SKETCH = 32
 # Columns of up to so many sets give all their pairs at once.
 FEW = 64
 # Comparisons of a set with others drawn from other columns.
-DRAWS = 32
+DRAWS = 16
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -79,16 +80,23 @@ def _names(flat: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
 
 
 def _sketches(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """For every set, which of the fixed buckets hold an odd number of its shingles.
+    """For every set, which of its buckets hold an odd number of its shingles.
 
-    Two sketches differ in at most as many buckets as shingles are in one set only.
+    A set has ``64 * SKETCH`` buckets, doubled until there are two for each shingle; halves
+    of a sketch that are laid on each other give the sketch of half as many buckets. Two
+    sketches of one size differ in at most as many buckets as shingles are in one set only.
     """
-    count, bits = len(offsets) - 1, 64 * SKETCH
-    bucket = (W.mix(flat) >> W.U64(64 - bits.bit_length() + 1)).astype(np.int64)
-    owner = np.repeat(np.arange(count), np.diff(offsets))
-    odd = np.bincount(owner * bits + bucket, minlength=count * bits) & 1
-    packed = np.packbits(odd.astype(np.uint8).reshape(count, bits), axis=1)
-    return _list(packed.reshape(-1).view(W.U64), np.arange(count + 1) * SKETCH)
+    sizes = np.diff(offsets)
+    words = np.full(len(sizes), SKETCH, np.int64)
+    while (small := 32 * words < sizes).any():
+        words[small] *= 2
+    starts = np.concatenate(([0], np.cumsum(words)))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    bucket = W.mix(flat) & (64 * words[owner] - 1).astype(W.U64)
+    packed = np.zeros(starts[-1], W.U64)
+    np.bitwise_xor.at(packed, starts[owner] + (bucket >> W.U64(6)).astype(np.int64),
+                      W.U64(1) << (bucket & W.U64(63)))
+    return _list(packed, starts)
 
 
 def _list(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -229,10 +237,10 @@ def _shared_cells(matrix: DataFrame, key: str) -> DataFrame:
     kind = dict(matrix.dtypes)[key]
     cells = matrix.filter(F.col("node").isNotNull()).select(key, "n", "node", "columns").mapInArrow(
         rows, f"shingle long, node binary, {key} {kind}, n long, at long")
-    cells = cells.groupBy("shingle", "node").agg(
+    # One shuffle, by column, serves both counts.
+    cells = cells.repartition("shingle").groupBy("shingle", "node").agg(
         F.min(key).alias(key), F.min("n").alias("n"), F.min("at").alias("at"))
-    sizes = cells.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1")
-    return cells.join(sizes, "shingle")
+    return cells.withColumn("sets", F.count("*").over(Window.partitionBy("shingle"))).filter("sets > 1")
 
 
 def whole_sets(docs: DataFrame, owners: DataFrame, key: str, width: int) -> DataFrame:
@@ -280,11 +288,21 @@ def _places_allow(percent: int) -> Column:
     return (100 + percent) * rest >= percent * (n + m)
 
 
+def _halved(sketch: Column) -> Column:
+    half = F.shiftright(F.size(sketch), 1)
+    return F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half),
+                      lambda low, high: low.bitwiseXOR(high))
+
+
 def _similar_sketches(percent: int) -> Column:
     """Whether the sketches allow a link: linked sets of n and m shingles differ in at
     most ``(n + m) (100 - percent) / (100 + percent)``."""
+    u, v = F.col("u"), F.col("v")
+    # Sizes of sets that may link are so near that few halvings make sketches equally long.
+    for _ in range((100 // percent).bit_length()):
+        u, v = (F.when(F.size(x) > F.size(y), _halved(x)).otherwise(x) for x, y in ((u, v), (v, u)))
     apart = F.aggregate(
-        F.zip_with("u", "v", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0),
+        F.zip_with(u, v, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0),
         lambda total, count: total + count)
     return (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m"))
 
@@ -358,12 +376,11 @@ def links(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
     """
     matrix = stored(incidence(docs, key, width, percent), "incidence")
     cells = stored(_shared_cells(matrix, key), "cells")
-    sketches = matrix.join(
-        cells.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
-            F.first("sketch").alias("sketch"), F.first("n").alias("n"))
-    sketches = stored(sketches, "sketches")
+    sketches = stored(matrix.filter(F.col("node").isNotNull()).groupBy("node").agg(
+        F.first("sketch").alias("sketch"), F.first("n").alias("n")), "sketches")
+
     def found(paired: DataFrame) -> DataFrame:
-        """The linked pairs among candidates."""
+        """Links among candidates that connect all that the linked ones connect."""
         pairs = paired.filter(_sizes_allow(percent)).select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
         ).distinct()
@@ -375,9 +392,21 @@ def links(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         owners = cells.select("node", key).distinct().join(nodes, "node", "left_semi")
         sets = stored(whole_sets(docs, owners, key, width), "sets")
-        linked = stored(_linked(pairs, sets, percent), "links")
-        discard(pairs, sets)
-        return linked
+        # Near copies meet many times: a pair for each set comes first.
+        one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        linked = stored(_linked(one, sets, percent), "links")
+        joined = connected_components(linked)
+        rest = pairs
+        for side in ("a", "b"):
+            rest = rest.join(joined.select(F.col("node").alias(side), F.col("component").alias(
+                f"of_{side}")), side, "left")
+        rest = stored(rest.join(one, ["a", "b"], "left_anti").filter(
+            F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "rest")
+        nodes = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
+        more = stored(_linked(rest, sets.join(nodes, "node", "left_semi"), percent), "links")
+        both = stored(linked.union(more), "links")
+        discard(pairs, sets, linked, joined, rest, more)
+        return both
 
     first = _few_pairs(cells, percent).select("x", "y").union(
         _drawn_pairs(cells, 0)).union(_drawn_pairs(cells, 1))

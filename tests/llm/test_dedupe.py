@@ -6,7 +6,10 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from postpulse.llm import components, ngram_join, passages, tiling
 
 VOCABULARY = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("a", "e", "io", "ué")]
@@ -86,6 +89,40 @@ def test_ngram_join_finds_all_components(documents, rows_of_documents, few, monk
     assert [r["component_id"] for r in found if r["doc_id"] is None] == [None]
 
 
+def test_sketches_tell_long_sets_apart_and_let_similar_ones_pass(spark):
+    """Also where the sketch of one set is twice as long as that of the other."""
+    draw = np.random.default_rng(3)
+    cases = []
+    for n, m, shared in ((6000, 6000, 60), (1000, 1100, 30), (1000, 1100, 940), (1020, 1030, 930),
+                         (6000, 6400, 5600), (9, 9, 8), (2040, 2500, 2040)):
+        values = draw.integers(0, 1 << 63, n + m - shared, dtype=np.uint64)
+        cases.append((n, m, shared, [values[:n], values[n - shared:]]))
+    sets = [np.unique(x) for *_, pair in cases for x in pair]
+    lists = ngram_join._sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)])).to_pylist()
+    frame = spark.createDataFrame(
+        [(i, n, m, *lists[2 * i:2 * i + 2]) for i, (n, m, *_) in enumerate(cases)],
+        "i int, n long, m long, u array<long>, v array<long>")
+    passed = {r["i"] for r in frame.filter(ngram_join._similar_sketches(80)).collect()}
+    swapped = frame.select("i", F.col("m").alias("n"), F.col("n").alias("m"),
+                           F.col("v").alias("u"), F.col("u").alias("v"))
+    assert passed == {r["i"] for r in swapped.filter(ngram_join._similar_sketches(80)).collect()}
+    assert passed == {i for i, (n, m, shared, _) in enumerate(cases) if 100 * shared >= 80 * (n + m - shared)}
+
+
+def test_near_copies_are_not_all_compared(spark, monkeypatch):
+    """Forty near copies of a text meet in all their pairs, of which a few connect them."""
+    chance = random.Random(8)
+    base = prose(chance, 300)
+    frame = spark.createDataFrame(
+        [(i, changed(chance, base, 1)) for i in range(40)], "doc_id long, text string")
+    compared, plain = [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, *rest: (
+        compared.append(pairs.count()), plain(pairs, *rest))[1])
+    found = ngram_join.jaccard_components(frame).collect()
+    assert {r["component_id"] for r in found} == {0}
+    assert sum(compared) < 200
+
+
 def test_one_document_of_each_component_stays(documents, rows_of_documents):
     kept = ngram_join.representatives(documents)
     assert kept.columns == documents.columns

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postpulse import constants as K
-from postpulse import functions as P
+from postpulse.operators.word_counts import word_counts
 from postpulse.session import scratch_path
 
 _TINY = 1e-10
@@ -37,24 +37,15 @@ def pair_counts(
     """``by``, ``first``, ``second`` (null where no pair begins) and ``count``, of words that
     are no stop words.
 
-    Stop words that are part of the program are taken out inside the row, those of a table
-    after counting. Nulls among them are ignored.
+    Stop words that are part of the program are taken out before counts are shuffled, those of
+    a table after counting. Nulls among them are ignored.
     """
     literal = None if isinstance(stopwords, DataFrame) else sorted({w for w in stopwords if w})
-
-    def pairs(words: Column) -> Column:
-        following = F.concat(F.slice(words, 2, F.size(words)), F.array(F.lit(None).cast("string")))
-        both = F.arrays_zip(words.alias("first"), following.alias("second"))
-        if not literal:
-            return both
-        kept = F.filter(both, lambda p: ~p["first"].isin(literal))
-        return F.transform(kept, lambda p: F.struct(
-            p["first"].alias("first"),
-            F.when(~p["second"].isin(literal), p["second"]).alias("second")))
-
-    listed = posts.select(*by, P.words(F.col(column)).alias("words")).filter(F.size("words") > 0)
-    counted = listed.select(*by, F.inline(pairs(F.col("words")))).groupBy(
-        *by, "first", "second").agg(F.count("*").alias("count"))
+    found = word_counts(posts, by, column, True)
+    if literal:
+        found = found.filter(~F.col("first").isin(literal)).withColumn(
+            "second", F.when(~F.col("second").isin(literal), F.col("second")))
+    counted = found.groupBy(*by, "first", "second").agg(F.sum("count").alias("count"))
     if literal is not None:
         return counted
     known = stopwords.select("word").dropna().distinct()

@@ -15,6 +15,7 @@ from postpulse.functions.text import names
 from postpulse.operators.collocations import cloud_counts, collocations
 from postpulse.operators.ranking import top_k
 from postpulse.operators.topics import topic_weights
+from postpulse.operators.word_counts import word_counts
 from postpulse.session import scratch_path
 
 
@@ -126,8 +127,8 @@ def word_frequencies(
     Stop words are taken out after counting, from distinct words only. Nulls among
     them are ignored.
     """
-    exploded = posts.select(*by, F.explode(P.words(F.col(column))).alias("word"))
-    counted = exploded.groupBy(*by, "word").agg(F.count("*").alias("count"))
+    found = word_counts(posts, by, column, False).withColumnRenamed("first", "word")
+    counted = found.groupBy(*by, "word").agg(F.sum("count").alias("count"))
     known = _word_table(posts.sparkSession, stopwords)
     return _weights(counted.join(known, "word", "left_anti"), "word", by, k)
 

@@ -1,9 +1,11 @@
 """Lexicon sentiment of one post, as a stateless expression.
 
 The score of a post needs only its own words, so it is computed inside the row with array
-functions: no explode, no shuffle, and it works unchanged on a stream. A gate finds the
-places of the row where an entry may begin; entries are looked up there in a hash table that
-is part of the expression; and what is found is folded from left to right.
+functions: no explode, no shuffle, and it works unchanged on a stream. What is found of a
+lexicon is folded from left to right. It is found by a scan of many texts at once; a text
+with letters that the scan does not know is searched in the row: a gate finds the places
+where an entry may begin, and entries are looked up there in a hash table that is part of
+the expression.
 """
 
 from __future__ import annotations
@@ -11,10 +13,13 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postpulse import constants as K
+from postpulse.functions import scan as S
 from postpulse.functions.gate import checksum, gate_of, listed
 
 # The lexicon becomes part of the plan, so its size is bounded.
@@ -100,6 +105,64 @@ def hits(
     return F.filter(F.transform(starts, at), lambda hit: hit.isNotNull())
 
 
+def scanned_hits(
+    entries: Mapping[str, tuple[float | None, float]], negators: Sequence[str]
+) -> Callable[[Column], Column]:
+    """A function from a text to its ``hits``, or null if the text has letters that the scan
+    does not know."""
+    longer = sorted({len(phrase.split(" ")) for phrase in entries} - {1}, reverse=True)
+    heads = {phrase.split(" ")[0] for phrase in entries} | set(negators)
+    keys, stops = S.keys_of(heads), set(negators)
+    # A polarity that is no number is none.
+    known = {phrase: (None if polarity is None or polarity != polarity else polarity, intensity)
+             for phrase, (polarity, intensity) in entries.items()}
+    kind = pa.struct([("at", pa.int32()), ("width", pa.int32()), ("polarity", pa.float64()),
+                      ("intensity", pa.float64()), ("negates", pa.bool_())])
+
+    def hits_of(texts: pa.Array) -> pa.Array:
+        found = S.scan(texts, True)
+        places = S.candidates(found, keys)
+        owners = np.searchsorted(found.first, places, "right") - 1
+        real = found.known[owners]
+        places, owners = places[real], owners[real]
+        starts, ends, first = found.starts, found.ends, found.first
+
+        def word(i: int) -> str:
+            return found.text[starts[i]:ends[i]].lower()
+
+        rows, counts = [], np.zeros(len(texts), np.int64)
+        for i, t in zip(places.tolist(), owners.tolist()):
+            head = word(i)
+            if head not in heads:
+                continue
+            at = i - first[t]
+            for n in longer:
+                if i + n <= first[t + 1] and (
+                        phrase := " ".join(map(word, range(i, i + n)))) in known:
+                    rows.append((at, n, *known[phrase], False))
+                    break
+            else:
+                if head in stops:
+                    rows.append((at, 1, None, 1.0, True))
+                elif head in known:
+                    rows.append((at, 1, *known[head], False))
+                else:
+                    continue
+            counts[t] += 1
+        columns = zip(*rows) if rows else [()] * len(kind)
+        values = pa.StructArray.from_arrays(
+            [pa.array(column, field.type) for column, field in zip(columns, kind)], fields=list(kind))
+        offsets = np.concatenate(([0], np.cumsum(counts)))
+        return pa.ListArray.from_arrays(
+            pa.array(offsets, pa.int32()), values, mask=pa.array(~found.known))
+
+    def hits_of_all(texts: pa.Array) -> pa.Array:
+        parts = [hits_of(part) for _, part in S.chunks(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
+
+    return F.arrow_udf(hits_of_all, f"array<{HIT}>")
+
+
 def folded(found: Column, factor: float = K.NEGATION_FACTOR, reach: int = K.NEGATION_REACH) -> Column:
     """Mean polarity of what was found, folded from left to right; nothing gives 0.
 
@@ -160,8 +223,9 @@ def polarity(
         )
     entries = entries_of(lexicon)
     # The word list is bound once, as the only element of an array.
-    return F.get(F.transform(F.array(sentiment_words(text)), lambda words: folded(
-        hits(words, entries, negators), factor, reach)), 0)
+    in_row = F.get(F.transform(
+        F.array(sentiment_words(text)), lambda words: hits(words, entries, negators)), 0)
+    return folded(F.coalesce(scanned_hits(entries, negators)(text), in_row), factor, reach)
 
 
 def sentiment_label(score: Column, cutoff: float = K.SENTIMENT_CUTOFF) -> Column:

@@ -15,8 +15,18 @@ FOLDED_LETTERS = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a",
 
 
 def strip(text: Column) -> Column:
-    """Remove every kind of Unicode space from both ends, in linear time."""
-    return F.btrim(text, F.lit(K.SPACE_CHARS))
+    """Remove every kind of Unicode space from both ends, in linear time.
+
+    Only a text with a space at an end is trimmed; it is bound once, as the only element of
+    an array.
+    """
+    spaces = F.lit(K.SPACE_CHARS)
+
+    def step(t: Column) -> Column:
+        spaced = F.contains(spaces, F.substring(t, 1, 1)) | F.contains(spaces, F.substring(t, -1, 1))
+        return F.when(spaced, F.btrim(t, spaces)).otherwise(t)
+
+    return F.get(F.transform(F.array(text), step), F.lit(0))
 
 
 def clean_text(text: Column, retweet_pattern: str = K.RETWEET_PATTERN) -> Column:

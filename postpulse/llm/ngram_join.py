@@ -196,6 +196,10 @@ def _marks(places: DataFrame, bits: int) -> np.ndarray:
     """A table with the bit of every ``place`` set, built in blocks of 4 KB."""
     blocks = places.groupBy(F.shiftright("place", 15).alias("block")).agg(
         F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
+    return _filled(blocks, bits)
+
+
+def _filled(blocks: DataFrame, bits: int) -> np.ndarray:
     marks = np.zeros((1 << bits) // 8, np.uint8)
     for row in blocks.collect():
         marks[row["block"] * 4096:row["block"] * 4096 + 4096] = np.frombuffer(row["bits"], np.uint8)
@@ -206,18 +210,80 @@ def _marked(marks: np.ndarray, place: np.ndarray) -> np.ndarray:
     return ((marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _shared_cells(matrix: DataFrame, key: str) -> DataFrame:
-    """``shingle``, ``node``, ``key``, ``n`` and ``at`` of the cells whose column has
-    several ``sets``. Copies of a set count once.
+def _only_marked(frame: DataFrame, place: Column, marks: np.ndarray) -> DataFrame:
+    """The rows whose place is marked, without a shuffle."""
+    sent = frame.sparkSession.sparkContext.broadcast(marks)
+    names = frame.columns
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = _marked(sent.value, batch.column(len(names)).to_numpy())
+            yield batch.filter(pa.array(hit)).select(list(range(len(names))))
+
+    return frame.select("*", place.alias(*fresh(names, "__place"))).mapInArrow(rows, frame.schema)
+
+
+def _own_place(key: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64("node", key), 64 - KEY_BITS)
+
+
+def _shared_marks(single: DataFrame) -> np.ndarray:
+    """The table of fixed size of the shingles that are columns of several sets.
+
+    A task reports the columns that it holds by 44 bits each, in 4 bytes beside the number
+    of a block, and those of several of its sets twice; what a block has twice is marked.
+    """
+    block_bits = SHARED_BITS - 15
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, codes = [], []
+
+        def flush() -> pa.RecordBatch:
+            found = np.concatenate(shingles).view(W.U64) >> W.U64(32 - block_bits)
+            code = np.concatenate(codes)
+            order = np.argsort(found)
+            found, code = found[order], code[order]
+            first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+            several = np.minimum.reduceat(code, first) < np.maximum.reduceat(code, first)
+            found = np.sort(np.concatenate((found[first], found[first][several])))
+            block = (found >> W.U64(32)).astype(np.int32)
+            starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            ends = np.concatenate((starts, [len(found)])).astype(np.int32) * 4
+            return pa.RecordBatch.from_arrays(
+                [pa.array(block[starts]), pa.Array.from_buffers(pa.binary(), len(starts), [
+                    None, pa.py_buffer(ends), pa.py_buffer(found.astype("<u4"))])],
+                names=["block", "held"])
+
+        for batch in batches:
+            lists = batch.column("columns")
+            shingles.append(lists.flatten().to_numpy())
+            codes.append(np.repeat(batch.column("code").to_numpy(), np.diff(lists.offsets.to_numpy())))
+            if sum(map(len, shingles)) > 4 << 20:
+                yield flush()
+                shingles, codes = [], []
+        if sum(map(len, shingles)):
+            yield flush()
+
+    def twice(rows: pa.Table) -> pa.Table:
+        values = np.sort(np.frombuffer(b"".join(rows.column("held").to_pylist()), "<u4"))
+        place = values[1:][values[1:] == values[:-1]] >> np.uint32(17)
+        bits = np.zeros(4096, np.uint8)
+        np.bitwise_or.at(bits, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+        return pa.table({"block": rows.column("block").slice(0, 1),
+                         "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    blocks = single.select(F.xxhash64("node").alias("code"), "columns").mapInArrow(
+        held, "block int, held binary").groupBy("block").applyInArrow(twice, "block int, bits binary")
+    return _filled(blocks, SHARED_BITS)
+
+
+def _shared_cells(single: DataFrame) -> DataFrame:
+    """``shingle``, ``node``, ``n`` and ``at`` of the cells whose column has several ``sets``.
+    Copies of a set count once.
 
     The table of fixed size spares most other cells from the shuffle.
     """
-    code = F.xxhash64("node")
-    columns = matrix.select(code.alias("code"), F.explode("columns").alias("shingle"))
-    shared = columns.groupBy("shingle").agg(
-        F.min("code").alias("low"), F.max("code").alias("high")).filter("low <> high")
-    places = shared.select(F.shiftrightunsigned("shingle", 64 - SHARED_BITS).alias("place"))
-    sent = matrix.sparkSession.sparkContext.broadcast(_marks(places, SHARED_BITS))
+    sent = single.sparkSession.sparkContext.broadcast(_shared_marks(single))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = sent.value
@@ -231,15 +297,14 @@ def _shared_cells(matrix: DataFrame, key: str) -> DataFrame:
             index = pa.array(owner[hit])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(flat[hit]), batch.column("node").take(index),
-                 batch.column(key).take(index), batch.column("n").take(index),
-                 pa.array(at[hit])], names=["shingle", "node", key, "n", "at"])
+                 batch.column("n").take(index), pa.array(at[hit])],
+                names=["shingle", "node", "n", "at"])
 
-    kind = dict(matrix.dtypes)[key]
-    cells = matrix.filter(F.col("node").isNotNull()).select(key, "n", "node", "columns").mapInArrow(
-        rows, f"shingle long, node binary, {key} {kind}, n long, at long")
+    cells = single.select("n", "node", "columns").mapInArrow(
+        rows, "shingle long, node binary, n long, at long")
     # One shuffle, by column, serves both counts.
     cells = cells.repartition("shingle").groupBy("shingle", "node").agg(
-        F.min(key).alias(key), F.min("n").alias("n"), F.min("at").alias("at"))
+        F.min("n").alias("n"), F.min("at").alias("at"))
     return cells.withColumn("sets", F.count("*").over(Window.partitionBy("shingle"))).filter("sets > 1")
 
 
@@ -375,22 +440,32 @@ def links(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
     none are not in the second.
     """
     matrix = stored(incidence(docs, key, width, percent), "incidence")
-    cells = stored(_shared_cells(matrix, key), "cells")
-    sketches = stored(matrix.filter(F.col("node").isNotNull()).groupBy("node").agg(
-        F.first("sketch").alias("sketch"), F.first("n").alias("n")), "sketches")
+    # One document of each set; a few of its copies pass the marks as well.
+    named = matrix.filter(F.col("node").isNotNull())
+    firsts = stored(named.groupBy("node").agg(F.min(key).alias(key)), "firsts")
+    own = _marks(firsts.select(_own_place(key).alias("place")), KEY_BITS)
+    single = _only_marked(named.select(key, "node", "n", "columns"), _own_place(key), own)
+    cells = stored(_shared_cells(single), "cells")
 
     def found(paired: DataFrame) -> DataFrame:
         """Links among candidates that connect all that the linked ones connect."""
         pairs = paired.filter(_sizes_allow(percent)).select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
         ).distinct()
+        met = stored(pairs, "met")
+        nodes = met.select(F.col("a").alias("node")).union(met.select("b"))
+        wanted = _marks(nodes.select(_place(F.col("node"), KEY_BITS).alias("place")), KEY_BITS)
+        sketches = _only_marked(named.select(key, "node", "n", "sketch"), _own_place(key), own)
+        sketches = _only_marked(sketches.select("node", "n", "sketch"),
+                                _place(F.col("node"), KEY_BITS), wanted)
+        pairs = met
         for side, sketch, size in (("a", "u", "n"), ("b", "v", "m")):
             pairs = pairs.join(sketches.select(
                 F.col("node").alias(side), F.col("sketch").alias(sketch),
                 F.col("n").alias(size)), side)
-        pairs = stored(pairs.filter(_similar_sketches(percent)).select("a", "b"), "pairs")
+        pairs = stored(pairs.filter(_similar_sketches(percent)).select("a", "b").distinct(), "pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        owners = cells.select("node", key).distinct().join(nodes, "node", "left_semi")
+        owners = firsts.join(nodes, "node", "left_semi")
         sets = stored(whole_sets(docs, owners, key, width), "sets")
         # Near copies meet many times: a pair for each set comes first.
         one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -405,7 +480,7 @@ def links(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
         nodes = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
         more = stored(_linked(rest, sets.join(nodes, "node", "left_semi"), percent), "links")
         both = stored(linked.union(more), "links")
-        discard(pairs, sets, linked, joined, rest, more)
+        discard(met, pairs, sets, linked, joined, rest, more)
         return both
 
     first = _few_pairs(cells, percent).select("x", "y").union(
@@ -419,7 +494,7 @@ def links(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
         linked, before = found(_all_pairs_outside(held, percent)), components
         components = connected_components(linked.union(before.select("node", "component")))
         discard(linked, before)
-    discard(held, cells, sketches)
+    discard(held, cells, firsts)
     return matrix, components
 
 

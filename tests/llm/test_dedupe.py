@@ -349,3 +349,43 @@ def test_near_passages_in_another_order_are_aligned():
     covered = {i for start, n, *_ in found for i in range(start, start + n - 4)}
     assert len(found) >= 2 and len(covered & set(range(100))) > 80
     assert len(covered & set(range(100, 200))) > 80
+
+
+def test_only_shared_windows_become_cells(spark):
+    """Before cells are made, windows tell what texts may share: few rows for a text."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(400)) for _ in range(40)]
+    part = texts[0].split()[100:180]
+    texts[1] = " ".join(texts[1].split()[:50] + part + texts[1].split()[50:])
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    named = frame.select(F.col("doc_id").alias("key"), "text", F.xxhash64("text").alias("code"))
+    lows = passages._window_lows(named, 50)
+    assert lows.count() < 40 * 400 // 2
+    places = passages._several(lows).select(
+        F.shiftrightunsigned("signature", 64 - passages.WINDOW_BITS).alias("place"))
+    kept = passages._kept_cells(named, passages._marks(places, passages.WINDOW_BITS), 50)
+    codes = {r["code"] for r in kept.select("code").distinct().collect()}
+    assert codes == {r["code"] for r in named.filter("key < 2").select("code").collect()}
+    found = {(r["doc_id"], r["start"], r["n_words"]) for r in passages.repeated_passages(frame).collect()}
+    assert found == {(0, 100, 80), (1, 50, 80)}
+
+
+def test_columns_of_several_sets_are_marked_in_few_bytes(spark):
+    """Shared columns are all marked, others nearly never, in whichever task the sets are."""
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(-2 ** 63, 2 ** 63, 200).tolist() for _ in range(60)]
+    shared = [columns[i][0] for i in range(0, 60, 2)]
+    for i in range(0, 60, 2):
+        columns[i + 1][1] = columns[i][0]
+    rows = [(bytes([i]) * 16, values) for i, values in enumerate(columns)]
+    frame = spark.createDataFrame(rows, "node binary, columns array<long>").repartition(5)
+    marks = ngram_join._shared_marks(frame)
+
+    def marked(values):
+        place = np.array(values, np.int64).view(np.uint64) >> np.uint64(64 - ngram_join.SHARED_BITS)
+        return ngram_join._marked(marks, place.astype(np.int64))
+
+    assert marked(shared).all()
+    assert marked([v for values in columns for v in values]).sum() <= 2 * len(shared) + 2
+    copies = spark.createDataFrame([rows[0], rows[0]], frame.schema).coalesce(1)
+    assert not ngram_join._shared_marks(copies).any()

@@ -1,0 +1,54 @@
+"""Phrases of a small dictionary in texts, found by a scan of many texts at once."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Collection
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from postpulse.functions import scan as S
+
+RUN = "struct<position:int,n:int,phrase:string>"
+
+
+def scanned_phrases(phrases: Collection[str]) -> Callable[[Column], Column]:
+    """A function from a text to its runs of words that are ``phrases`` (words with a space
+    between, case kept), or null if the text has letters that the scan does not know."""
+    known = set(phrases)
+    lengths = sorted({len(phrase.split(" ")) for phrase in known})
+    heads = {phrase.split(" ")[0] for phrase in known}
+    keys = S.keys_of({head.lower() for head in heads})
+    kind = pa.struct([("position", pa.int32()), ("n", pa.int32()), ("phrase", pa.string())])
+
+    def runs_of(texts: pa.Array) -> pa.Array:
+        found = S.scan(texts, False)
+        places = S.candidates(found, keys)
+        owners = np.searchsorted(found.first, places, "right") - 1
+        real = found.known[owners]
+        text, starts, ends, first = found.text, found.starts, found.ends, found.first
+        rows, counts = [], np.zeros(len(texts), np.int64)
+        for i, t in zip(places[real].tolist(), owners[real].tolist()):
+            if text[starts[i]:ends[i]] not in heads:
+                continue
+            for n in lengths:
+                if i + n > first[t + 1]:
+                    break
+                phrase = " ".join(text[starts[j]:ends[j]] for j in range(i, i + n))
+                if phrase in known:
+                    rows.append((i - first[t], n, phrase))
+                    counts[t] += 1
+        columns = zip(*rows) if rows else [()] * len(kind)
+        values = pa.StructArray.from_arrays(
+            [pa.array(column, field.type) for column, field in zip(columns, kind)], fields=list(kind))
+        offsets = np.concatenate(([0], np.cumsum(counts)))
+        return pa.ListArray.from_arrays(
+            pa.array(offsets, pa.int32()), values, mask=pa.array(~found.known))
+
+    def runs_of_all(texts: pa.Array) -> pa.Array:
+        parts = [runs_of(part) for _, part in S.chunks(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
+
+    return F.arrow_udf(runs_of_all, f"array<{RUN}>")

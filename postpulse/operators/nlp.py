@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postpulse import constants as K
 from postpulse import functions as P
-from postpulse.functions.gate import gate, listed
+from postpulse.functions.gate import FEW, gate, listed
+from postpulse.functions.phrases import scanned_phrases
 from postpulse.functions.sentiment import HIT, MAX_LEXICON_WORDS, Entry, folded, sentiment_words
 from postpulse.functions.text import names
 from postpulse.operators.collocations import cloud_counts, collocations
@@ -176,8 +177,9 @@ def entity_phrases(entity_dict: DataFrame) -> DataFrame:
         F.size("words").alias("n"), F.get("words", 0).alias("head"))
 
 
-def phrase_candidates(worded: DataFrame, phrases: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Runs of ``words`` that may be phrases: ``keep``, ``position``, ``n``, ``phrase``.
+def phrase_runs(phrases: DataFrame) -> Callable[[Column], Column] | None:
+    """A function from a word list to its runs that may be ``phrases``, as structs of
+    ``position``, ``n`` and ``phrase``; None if there are no phrases.
 
     ``phrases`` has ``phrase``, its number of words ``n`` and the first of them, ``head``.
     Inside the row, a gate is asked for every word whether a phrase begins with it; only
@@ -186,8 +188,7 @@ def phrase_candidates(worded: DataFrame, phrases: DataFrame, keep: Sequence[str]
     # The lengths that occur: a few numbers, whatever the size of the dictionary.
     lengths = sorted(row[0] for row in phrases.select("n").distinct().collect())
     if not lengths:
-        return worded.select(*keep, F.lit(0).alias("position"), F.lit(0).alias("n"),
-                             F.lit("").alias("phrase")).filter(F.lit(False))
+        return None
     heads, whole = gate(phrases, "head"), gate(phrases, "phrase")
 
     def found(words: Column) -> Column:
@@ -202,16 +203,40 @@ def phrase_candidates(worded: DataFrame, phrases: DataFrame, keep: Sequence[str]
         return F.flatten(F.transform(starts, at))
 
     # The word list is bound once, as the only element of an array.
-    return worded.select(*keep, F.inline(F.get(F.transform(F.array("words"), found), 0)))
+    return lambda words: F.get(F.transform(F.array(words), found), 0)
+
+
+def _no_candidates(posts: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return posts.select(*keep, F.lit(0).alias("position"), F.lit(0).alias("n"),
+                        F.lit("").alias("phrase")).filter(F.lit(False))
+
+
+def phrase_candidates(worded: DataFrame, phrases: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Runs of ``words`` that may be phrases: ``keep``, ``position``, ``n``, ``phrase``."""
+    runs = phrase_runs(phrases)
+    if runs is None:
+        return _no_candidates(worded, keep)
+    return worded.select(*keep, F.inline(runs(F.col("words"))))
 
 
 def entity_candidates(
     posts: DataFrame, phrases: DataFrame, keep: Sequence[str], column: str = "cleaned_text"
 ) -> DataFrame:
-    """Runs of words of posts that may be entities, with ``__text`` to tell posts apart."""
-    worded = posts.select(
-        *keep, F.xxhash64(column).alias("__text"), names(F.col(column)).alias("words"))
-    return phrase_candidates(worded, phrases, [*keep, "__text"])
+    """Runs of words of posts that may be entities, with ``__text`` to tell posts apart.
+
+    Few phrases are found by a scan of many texts (``functions.scan``); texts with letters
+    that it does not know, and all texts if there are more phrases, are cut in the row.
+    """
+    keyed = posts.select(*keep, F.xxhash64(column).alias("__text"), F.col(column).alias("__column"))
+    kept = [*keep, "__text"]
+    runs = phrase_runs(phrases)
+    if runs is None:
+        return _no_candidates(keyed, kept)
+    in_row = runs(names(F.col("__column")))
+    few = [row[0] for row in phrases.select("phrase").distinct().limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        in_row = F.coalesce(scanned_phrases(few)(F.col("__column")), in_row)
+    return keyed.select(*kept, in_row.alias("__runs")).select(*kept, F.inline("__runs"))
 
 
 def find_entities(
